@@ -1,0 +1,414 @@
+"""Corpus operators against brute force on small tables, and their defined cases on odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
+
+from granary.llm import langid, mixing, packing, pii, quality, secrets, simhash, topk, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, and columns whose names clash with inner ones."""
+    long = "lorem ipsum 4111 1111 1111 1111 " * 4000
+    rows = [
+        (1, None, "en", "a", 0, "x", 1),
+        (2, "", None, None, 0, "x", None),
+        (3, long, "en", "a", len(long), None, 3),
+        (3, long, "en", "a", len(long), None, 3),
+        (4, "a b c d", None, "b", 7, "x", 4),
+        (5, "a b c d", "fr", "b", 7, "x", 5),
+        (None, "word " * 30, "en", "c", 150, "x", 6),
+        (None, None, None, None, None, None, None),
+        (8, "\U0001f600 é ñ call +1 (555) 555-0100 or me@x.org <|endoftext|>", "en", "c", 40, "x", 7),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, n_words int")
+
+
+def texts(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.collect()]
+
+
+# Quality rules
+
+
+def measured(text):
+    words = WORD.findall(text)
+    grams = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    covered = {j for i in range(len(words) - 7) if grams[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_measures(docs, odd):
+    for df in (docs, odd):
+        got = sorted((r["doc_id"] or -1, *[r[f] for f in quality.FIELDS], r["base_failed"]) for r in quality.quality_rules(df).collect())
+        want = []
+        for d, t in texts(df):
+            m = measured(t)
+            want.append((d or -1, *m, m[0] < 20 or 100 * m[4] > 30 * m[0]))
+        assert got == sorted(want)
+
+
+def test_bad_host_fails_and_clean_hosts_stay(spark):
+    good = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, good if i % 50 else "x", f"h{i % 4}") for i in range(400)] + [(1000 + i, good if i % 10 == 0 else "x", "bad") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["doc_id"] for r in quality.quality_rules(df).filter("kept").collect()}
+    assert kept == {d for d, t, h in rows if t == good and h != "bad"}
+    assert {r["doc_id"] for r in quality.keep_good(df).collect()} == kept
+
+
+def test_quality_keeps_columns(odd):
+    out = quality.keep_good(odd)
+    assert out.columns == odd.columns
+    assert quality.keep_good(odd.limit(0)).count() == 0
+
+
+# Personal data
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c) * (1 + i % 2)
+        total += n - 9 if n > 9 else n
+    return total % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end(), "email"))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m.group().split(".")):
+            out.append((m.start(), 1, m.end(), "ip"))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m.group())
+        if 14 <= len(d) <= 19 and luhn(d):
+            out.append((m.start(), 2, m.end(), "card"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15:
+            out.append((m.start(), 3, m.end(), "phone"))
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def personal(spark):
+    g = random.Random(4)
+    bits = ["a@b.c@d.e", "x.y@h-1.org.", "1.2.3.4.5.6.7.8", "256.1.1.1", "010.0.0.255", "4111111111111111", "4111-1111 1111 1111", "+1 (743) 555-3824", "+4111111111111111", "a@b.c_d@e.f", "@", "+", "1.1", "é", "\U0001f600", " ", "\n", "0" * 40, "12 34-56", "mail", "GB82 WEST 1234 5698 7654 32", "ssn 123-45-6789", "123-45-6789"]
+    rows = [(i, "".join(g.choice(bits) + g.choice(["", " ", "x"]) for _ in range(g.randint(0, 12)))) for i in range(400)]
+    rows.append((500, "9" * 30000 + " " + "a" * 30000 + "@b.co " + "1 2" * 8000))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_base_spans(docs, odd, personal):
+    for df in (docs, odd, personal):
+        got = sorted((r["doc_id"] or -1, r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in pii.pii_digest(df).collect())
+        want = []
+        for d, t in texts(df):
+            s = base_spans(t)
+            n = Counter(x[3] for x in s)
+            digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in s).encode()).hexdigest()
+            want.append((d or -1, n["email"], n["ip"], n["card"], n["phone"], digest))
+        assert got == sorted(want)
+
+
+def test_added_spans_and_redaction(spark):
+    rows = [(1, "iban GB82 WEST 1234 5698 7654 32 end"), (2, "code GB83 WEST 1234 5698 7654 32 end"), (3, "my ssn 123-45-6789"), (4, "part 123-45-6789"), (5, "mail é@ me@x.org now"), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_digest(df).collect()}
+    assert got[1] == "iban:5:32" and got[2] == "" and got[3] == "ssn:7:18" and got[4] == ""
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert clean[1] == "iban [IBAN] end" and clean[5] == "mail é@ [EMAIL] now" and clean[6] is None
+
+
+def test_redaction_keeps_columns(odd):
+    out = pii.redact(odd)
+    assert out.columns == odd.columns and out.count() == odd.count()
+
+
+# Near-duplicates
+
+
+def print_of(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def grouped(prints):
+    """(id, fingerprint) -> {id: smallest id reachable}"""
+    root = {i: i for i, _ in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, a) in enumerate(prints):
+        for j, b in prints[:k]:
+            if (a ^ b).bit_count() <= 3:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in prints}
+
+
+def test_simhash(docs):
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    prints = [(d, print_of(t)) for d, t in texts(docs)]
+    roots = grouped(prints)
+    assert got == {d: (f"{p:016x}", roots[d]) for d, p in prints}
+    kept = {r["doc_id"] for r in simhash.keep_representatives(docs).collect()}
+    assert kept == set(roots.values())
+
+
+def test_links_of_planted_fingerprints(spark, monkeypatch):
+    g = random.Random(1)
+    values = {g.getrandbits(64) for _ in range(150)}
+    for v in list(values):
+        for _ in range(4):
+            v ^= sum(1 << b for b in g.sample(range(64), g.randint(1, 4)))
+            values.add(v)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    prints = list(enumerate(signed))
+    want = grouped([(i, v % (1 << 64)) for i, v in prints])
+    for bucket in (simhash.BUCKET, 4):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        df = spark.createDataFrame([(v,) for v in signed], "fp long")
+        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
+        members = defaultdict(set)
+        for i, v in prints:
+            members[roots.get(v, v)].add(i)
+        other = defaultdict(set)
+        for i, r in want.items():
+            other[r].add(i)
+        assert sorted(map(sorted, members.values())) == sorted(map(sorted, other.values()))
+
+
+def test_components_of_a_long_chain(spark):
+    n = 300
+    order = random.Random(2).sample(range(n), n)
+    df = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:])], "a long, b long")
+    assert {(r["node"], r["root"]) for r in simhash.components(df).collect()} == {(i, 0) for i in range(1, n)}
+
+
+def test_simhash_odd(odd):
+    rows = simhash.near_duplicates(odd).collect()
+    assert len(rows) == odd.count()
+    zero = [r for r in rows if r["fingerprint"] == "0" * 16]
+    assert {r["component_id"] for r in zero} == {1}
+    assert simhash.keep_representatives(odd).columns == odd.columns
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+# Packing
+
+
+def test_packing(docs, odd):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.tokenizer_path())
+    for df, node in ((docs, packing.NODE), (docs, 7), (odd, 3)):
+        rows = packing.pack(df, node=node).collect()
+        whole = Counter()
+        for d, t in texts(df):
+            ids = library.encode(t, add_special_tokens=False).ids + [2]
+            first = len(ids) % 1024
+            edges = ([0] if first else []) + list(range(first, len(ids) + 1, 1024))
+            for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                crc = zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[a:b]))
+                whole[(d, k, a, b - a, crc)] += 1
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == whole
+        bins = defaultdict(list)
+        for r in rows:
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        for parts in bins.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 1024
+        if df is docs and node == packing.NODE:
+            assert len(bins) <= 1.02 * sum(r["length"] for r in rows) / 1024 + 2
+    assert packing.pack(odd.limit(0)).count() == 0
+
+
+def test_encoder_equals_library():
+    from tokenizers import Tokenizer
+
+    library, encode = Tokenizer.from_file(packing.tokenizer_path()), packing.encoder(packing.tokenizer_path())
+    g = random.Random(9)
+    for _ in range(3000):
+        text = "".join(g.choice(["a", " ", "  ", "\n", "é", "\U0001f600", "'s", "12", "字", "́", "\x00", "​", "\t", "!", "<|endoftext|>", "the "]) for _ in range(g.randint(0, 30)))
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+# Mixing
+
+
+def test_mixing_weights(spark):
+    g = random.Random(3)
+    rows = [(i, "w " * g.randint(1, 30), "big" if i % 10 else f"s{i % 3}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, repeat=3.0, block=500).collect()
+    size, got = Counter(), Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    for r in out:
+        got[r["source"]] += r["n_tokens"]
+    total = sum(size.values())
+    named = {r["source"]: r for r in mixing.weights(spark.createDataFrame(list(size.items()), "source string, tokens long"), repeat=3.0).collect()}
+    assert abs(sum(r["weight"] for r in named.values()) - 1) < 1e-9
+    for s, r in named.items():
+        assert got[s] <= r["budget"] and got[s] > r["budget"] - 60
+        assert r["budget"] <= 3.0 * size[s] + 1
+    assert got["s0"] / total > size["s0"] / total and sum(got.values()) <= total
+    copies = Counter((r["doc_id"], r["epoch"]) for r in out)
+    assert max(copies.values()) == 1
+    rows_out = mixing.mix_rows(df, repeat=3.0, block=500)
+    assert Counter(r["doc_id"] for r in rows_out.collect()) == Counter(r["doc_id"] for r in out)
+
+
+def test_mixing_reaches_the_entropy(spark):
+    import math
+
+    sizes = spark.createDataFrame([(f"s{i}", 10 ** (i + 2)) for i in range(4)], "source string, tokens long")
+    w = [r["weight"] for r in mixing.weights(sizes, entropy=0.7, repeat=1e9).collect()]
+    assert abs(-sum(x * math.log(x) for x in w) - 0.7 * math.log(4)) < 1e-6
+
+
+def test_mixing_odd(odd):
+    out = mixing.mix_rows(odd)
+    assert out.columns == odd.columns
+    assert mixing.mix(odd.limit(0)).count() == 0
+
+
+# Languages
+
+
+def test_languages(spark, docs, odd):
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
+    rows = langid.identify(odd).collect()
+    assert all(r["lang_pred"] == "und" for r in rows if r["doc_id"] in (1, 2))
+    assert langid.identify(odd.limit(0)).count() == 0
+    assert all(r["lang_pred"] == "und" for r in langid.identify(odd.withColumn("lang", odd["lang"].substr(9, 1)).filter("lang is null or false")).collect())
+
+
+def test_code_lengths_are_a_context_tree():
+    """The compiled tables give the lengths of a tree walked byte by byte."""
+    import math
+
+    train = [b"abracadabra", b"banana bread"]
+    model = langid.Model({"x": train, "y": [b"zzyzx"]}, order=2)
+    counts = Counter()
+    for t in train:
+        s = [0, 0, *t]
+        for i in range(2, len(s)):
+            for k in range(3):
+                counts[(tuple(s[i - k : i]), s[i])] += 1
+    # 0 stands before a text; bytes are above it.
+    by_context = defaultdict(dict)
+    for (c, b), n in counts.items():
+        by_context[c][b] = n
+
+    def bits(context, b):
+        seen = by_context.get(context, {})
+        total, kinds = sum(seen.values()), len(seen)
+        if b in seen:
+            return math.log2((total + kinds) / seen[b])
+        shorter = bits(context[1:], b) if context else math.log2(256)
+        return shorter + (math.log2((total + kinds) / kinds) if total else 0)
+
+    for text in (b"abra ban", b"qqq", b"aaaab"):
+        s = [0, 0, *text]
+        want = sum(bits(tuple(s[i - 2 : i]), s[i]) for i in range(2, len(s)))
+        assert abs(model.lengths([text])[0, 0] - want) < 1e-3
+
+
+# Top-k
+
+
+def exact_top(rows, every=20, top=20):
+    import math
+
+    sound = {i: [math.floor(64 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    out = set()
+    for q in sound:
+        if q % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(sound[q], v)), i) for i, v in sound.items() if i != q)[:top]
+            out |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)}
+    return out
+
+
+def test_top_products(spark, sf, monkeypatch):
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    assert {tuple(r) for r in topk.top_products(table).select("query_id", "rank", "vec_id", "score").collect()} == exact_top(rows)
+    g = random.Random(5)
+    rows = [(i, [g.choice([0.0, 0.5, 1.0]) * (1 + i % 7) for _ in range(6)]) for i in range(300)]
+    rows += [(400, None), (420, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (440, [float("nan")] * 6), (460, [float("inf")] * 6), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for name, value in (("QUERIES", 4), ("BLOCK", 16), ("STRIPE", 3), ("HEAD", 2)):
+        monkeypatch.setattr(topk, name, value)
+    got = {tuple(r) for r in topk.top_products(df, top=5).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == exact_top(rows, top=5)
+    assert topk.top_products(df.limit(0)).count() == 0
+
+
+# Toxicity
+
+
+def test_toxicity(spark, odd):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, labels).join(labels, "doc_id").filter("held_out").collect()
+    right = sum(r["predicted"] == r["toxic"] for r in got) / len(got)
+    assert right > 0.9 and all(0 <= r["score"] <= 1 for r in got)
+    none = toxicity.score(odd, labels.limit(0)).collect()
+    assert len(none) == odd.count() and all(r["score"] == 0 for r in none)
+
+
+def test_windows_cover_all_words():
+    for n in range(0, 400):
+        starts = toxicity.window_starts(n)
+        covered = {i for s in starts for i in range(s, min(s + toxicity.WINDOW, n))}
+        assert covered == set(range(n)) and all(s + toxicity.WINDOW <= max(n, toxicity.WINDOW) for s in starts)
+
+
+# Secrets
+
+
+def test_secrets(spark, odd):
+    rows = [(1, 'the token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" end'), (2, "commit f33e61083db5dbdf4bd2369d2f80176e57f7fda2 merged"), (3, "see /usr/local/share/doc/package/readme.first"), (4, "api_key: 9sXv2KqLm8ZpT4wYb7NcRd1HfGjUe3Ao6ViQ0xB5"), (5, None), (6, "é" * 3 + " secret=" + "ab12" * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.scan(df).collect()}
+    assert {d for d, r in got.items() if r["secret"]} == {1, 4, 6}
+    assert rows[0][1][got[1]["start"] : got[1]["end"]] == got[1]["value"]
+    assert rows[5][1][got[6]["start"] : got[6]["end"]] == got[6]["value"]
+    secrets.scan(odd).collect()
+    assert secrets.scan(odd.limit(0)).count() == 0
+
+
+def test_secret_candidates_and_votes_equal_brute_force(spark, docs):
+    found = [(d, m.start(), m.end(), m.group()) for d, t in texts(docs) for m in re.finditer(r"[A-Za-z0-9+/_.-]{16,}={0,2}", t)]
+    rows = secrets.scan(docs).collect()
+    assert sorted((r["doc_id"], r["start"], r["end"], r["value"]) for r in rows) == sorted(found)
+    trees = secrets.forest_for(spark)
+    again = secrets.featured(secrets.candidates(docs, "doc_id", "text")).select("doc_id", "s", "f.*").collect()
+    want = {(r[0], r[1]): secrets.vote(trees, r[2:]) for r in again}
+    assert all(abs(want[(r["doc_id"], r["start"])] - r["probability"]) < 1e-9 for r in rows)
