@@ -41,6 +41,8 @@ STRIPE = 32
 #: Rotated coordinates in the first partial sum.
 HEAD = 16
 LIMIT = 1 << 28
+#: Below every score; its negative must be an integer too.
+NONE = -(1 << 63) + 1
 
 
 def integers(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -116,7 +118,7 @@ def best(queries: np.ndarray, own: np.ndarray, blocks: Iterator[tuple[np.ndarray
     turned = queries @ turn
     lengths = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
     rest = np.sqrt((turned[:, head:] ** 2).sum(axis=1))
-    scores = np.full((n, top), np.iinfo(np.int64).min)
+    scores = np.full((n, top), NONE)
     ids = np.full((n, top), -1, np.int64)
     for block_ids, vectors, longest in blocks:
         floor = scores[:, -1].astype(np.float64)
@@ -158,11 +160,10 @@ def _grid(batches: Iterator[pa.RecordBatch], turn: np.ndarray, top: int) -> Iter
         for batch in batches:
             yield from zip(*(batch.column(c).to_pylist() for c in ("q", "stripe", "kind", "ids", "vectors", "longest")), strict=True)
 
-    def solve() -> pa.RecordBatch | None:
+    def solve() -> pa.RecordBatch:
         own, vectors = waiting[0]
-        found = best(vectors, own, iter(waiting[1:]), turn, top)
-        scores, ids = found
-        real = scores > np.iinfo(np.int64).min
+        scores, ids = best(vectors, own, iter(waiting[1:]), turn, top)
+        real = scores > NONE
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(own, top).reshape(-1, top)[real]), pa.array(ids[real]), pa.array(scores[real])], ["query_id", "vec_id", "score"])
 
     for q, stripe, kind, ids, vectors, longest in rows():
@@ -170,6 +171,8 @@ def _grid(batches: Iterator[pa.RecordBatch], turn: np.ndarray, top: int) -> Iter
             if len(waiting) > 1:
                 yield solve()
             cell, waiting = (q, stripe), []
+        if kind and not waiting:
+            continue  # no query was dealt to this group
         i, x = np.frombuffer(ids, np.int64), np.frombuffer(vectors, "<i4").reshape(-1, size).astype(np.int64)
         waiting.append((i, x) if kind == 0 else (i, x, longest))
     if len(waiting) > 1:

@@ -30,15 +30,19 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import crc_fold, small_batches, utf8
 
-WINDOW, STRIDE = 48, 36
+WINDOW, STRIDE = 48, 40
 HIDDEN, DIM, ATTENTION = 8, 8, 8
 PAIRS = 2048
 VOCABULARY = 4096
 #: Documents of a label that the network learns from, about, and windows of each.
 SAMPLE, PER_DOC = 1200, 4
-STEPS, BATCH, RATE = 500, 128, 0.02
+STEPS, BATCH, RATE, DECAY = 150, 128, 0.005, 0.003
+#: Scale of the log odds that embeddings start with, and standard errors from which they tell of a label.
+HINT, TELLING = 2.0, 3.0
 #: Windows scored at once, and words whose inputs are remembered.
-CHUNK, REMEMBER = 4096, 100_000
+CHUNK, REMEMBER = 1024, 100_000
+#: Share of the documents learned from in which a word must occur to have an embedding, and share kept for calibration.
+FREQUENT, CALIBRATE = 0.02, 0.3
 
 #: Letters and digits in lower case; other ASCII separates words.
 CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -61,24 +65,32 @@ def window_starts(n: int) -> list[int]:
     return [*range(0, n - WINDOW, STRIDE), n - WINDOW]
 
 
-def recur(a: np.ndarray, mask: np.ndarray | None, weight: np.ndarray, keep: bool = False):
-    """States of both directions, (2, n, t, h), for projected inputs ``a`` (2, n, t, 3h). ``keep``: also what backpropagation needs."""
-    _, n, t, h3 = a.shape
-    h = h3 // 3
+def recur(project, steps: int, n: int, mask: np.ndarray | None, weight: np.ndarray, keep: bool = False):
+    """States (t, 2, n, h) of both directions. ``project(i)``: inputs (2, n, 3h) of step i; ``mask`` (t, 2, n): which steps count. ``keep``: also what backpropagation needs."""
+    h = weight.shape[1]
     state = np.zeros((2, n, h), np.float32)
-    states = np.empty((2, n, t, h), np.float32)
+    states = np.empty((steps, 2, n, h), np.float32)
     trace = []
-    for i in range(t):
+    for i in range(steps):
+        a = project(i)
         u = np.matmul(state, weight)
-        gates = np.tanh((a[:, :, i, : 2 * h] + u[:, :, : 2 * h]) * 0.5) * 0.5 + 0.5
+        gates = a[:, :, : 2 * h] + u[:, :, : 2 * h]
+        gates *= 0.5
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
         r, z = gates[:, :, :h], gates[:, :, h:]
-        new = np.tanh(a[:, :, i, 2 * h :] + r * u[:, :, 2 * h :])
-        after = new + z * (state - new)
+        new = r * u[:, :, 2 * h :]
+        new += a[:, :, 2 * h :]
+        np.tanh(new, out=new)
+        after = state - new
+        after *= z
+        after += new
         if mask is not None:
-            after = np.where(mask[:, :, i, None], after, state)
+            after = np.where(mask[i][:, :, None], after, state)
         if keep:
             trace.append((state, r, z, new, u[:, :, 2 * h :]))
-        states[:, :, i] = state = after
+        states[i] = state = after
     return (states, trace) if keep else states
 
 
@@ -117,14 +129,15 @@ class Network:
         return self.p["word"][[self.vocabulary.get(w, 0) for w in types]] + mean
 
     def pooled(self, states: np.ndarray, mask: np.ndarray | None):
-        both = np.concatenate([states[0], states[1][:, ::-1]], axis=2)
+        """Attention over the states (t, n, 2h); ``mask`` (t, n)."""
+        both = np.concatenate([states[:, 0], states[::-1, 1]], axis=2)
         hidden = np.tanh(both @ self.p["att"])
         e = hidden @ self.p["key"]
         if mask is not None:
             e = np.where(mask, e, -30.0)
-        e = np.exp(e - e.max(axis=1, keepdims=True))
-        weight = e / e.sum(axis=1, keepdims=True)
-        context = np.einsum("nt,nth->nh", weight, both)
+        e = np.exp(e - e.max(axis=0))
+        weight = e / e.sum(axis=0)
+        context = (weight[:, :, None] * both).sum(axis=0)
         return both, hidden, weight, context, context @ self.p["out"] + self.p["off"][0]
 
     def _project(self, types: list[bytes]) -> np.ndarray:
@@ -143,10 +156,16 @@ class Network:
         """Scores (logits) of windows of word numbers; ``mask``: which places hold a word."""
         out = []
         for s in range(0, len(ids), CHUNK):
-            k = ids[s : s + CHUNK]
-            m = None if mask is None else mask[s : s + CHUNK]
-            a = np.stack([self.inputs[0][k], self.inputs[1][k[:, ::-1]]])
-            states = recur(a, None if m is None else np.stack([m, m[:, ::-1]]), self.p["rec"])
+            k = np.ascontiguousarray(ids[s : s + CHUNK].T)
+            m = None if mask is None else mask[s : s + CHUNK].T
+            buffer = np.empty((2, k.shape[1], 3 * HIDDEN), np.float32)
+
+            def project(i: int, k=k, buffer=buffer) -> np.ndarray:
+                np.take(self.inputs[0], k[i], axis=0, out=buffer[0], mode="clip")
+                np.take(self.inputs[1], k[len(k) - 1 - i], axis=0, out=buffer[1], mode="clip")
+                return buffer
+
+            states = recur(project, len(k), k.shape[1], None if m is None else np.stack([m, m[::-1]], axis=1), self.p["rec"])
             out.append(self.pooled(states, m)[-1])
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
@@ -197,88 +216,99 @@ class Network:
             sizes = counts[used]
             firsts = np.append(0, np.cumsum(sizes)[:-1])
             word = np.where(g.random(len(used)) < 0.1, 0, vocab[used])
-            x = self.p["word"][word] + np.add.reduceat(self.p["pair"][rows], firsts, axis=0) / sizes[:, None]
+            # Dropping the characters of some words and the word of others keeps the two inputs from leaning on each other.
+            use = (g.random(len(used)) >= 0.3).astype(np.float32)[:, None]
+            x = self.p["word"][word] + use * np.add.reduceat(self.p["pair"][rows], firsts, axis=0) / sizes[:, None]
             a = np.matmul(x[None], self.p["in"]) + self.p["bias"]
-            order = np.stack([at, at[:, ::-1]])
-            masks = np.stack([mask, mask[:, ::-1]])
-            states, trace = recur(np.stack([a[0][order[0]], a[1][order[1]]]), masks, self.p["rec"], keep=True)
-            both, hidden, weight, context, z = self.pooled(states, mask)
+            order = np.stack([at.T, at.T[::-1]], axis=1)
+            masks = np.stack([mask.T, mask.T[::-1]], axis=1)
+            states, trace = recur(lambda i, a=a, order=order: np.stack([a[0][order[i, 0]], a[1][order[i, 1]]]), WINDOW, BATCH, masks, self.p["rec"], keep=True)
+            both, hidden, weight, context, z = self.pooled(states, mask.T)
             d = ((1 / (1 + np.exp(-z)) - labels[pick]) / BATCH).astype(np.float32)
             grad = {"out": context.T @ d, "off": d.sum(keepdims=True)}
             dcontext = d[:, None] * self.p["out"]
-            dweight = np.einsum("nh,nth->nt", dcontext, both)
-            de = weight * (dweight - (weight * dweight).sum(axis=1, keepdims=True))
-            grad["key"] = np.einsum("nt,nta->a", de, hidden)
+            dweight = (both * dcontext).sum(axis=2)
+            de = weight * (dweight - (weight * dweight).sum(axis=0))
+            grad["key"] = np.einsum("tn,tna->a", de, hidden)
             dhidden = de[:, :, None] * self.p["key"] * (1 - hidden * hidden)
-            grad["att"] = np.einsum("nth,nta->ha", both, dhidden)
-            dboth = weight[:, :, None] * dcontext[:, None, :] + dhidden @ self.p["att"].T
-            dstates = np.stack([dboth[:, :, :HIDDEN], dboth[:, ::-1, HIDDEN:]])
-            da = np.zeros((2, BATCH, WINDOW, 3 * HIDDEN), np.float32)
+            grad["att"] = np.einsum("tnh,tna->ha", both, dhidden)
+            dboth = weight[:, :, None] * dcontext + dhidden @ self.p["att"].T
+            dstates = np.stack([dboth[:, :, :HIDDEN], dboth[::-1, :, HIDDEN:]], axis=1)
+            da = np.zeros((WINDOW, 2, BATCH, 3 * HIDDEN), np.float32)
             grad["rec"] = np.zeros_like(self.p["rec"])
             dh = np.zeros((2, BATCH, HIDDEN), np.float32)
             for i in range(WINDOW - 1, -1, -1):
                 state, r, zt, new, u = trace[i]
-                dh = dh + dstates[:, :, i]
-                live = masks[:, :, i, None]
+                dh = dh + dstates[i]
+                live = masks[i][:, :, None]
                 dn = np.where(live, dh * (1 - zt) * (1 - new * new), 0)
                 dz = np.where(live, dh * (state - new) * zt * (1 - zt), 0)
                 dr = dn * u * r * (1 - r)
-                da[:, :, i] = np.concatenate([dr, dz, dn], axis=2)
+                da[i] = np.concatenate([dr, dz, dn], axis=2)
                 du = np.concatenate([dr, dz, dn * r], axis=2)
                 grad["rec"] += np.matmul(state.transpose(0, 2, 1), du)
                 dh = np.where(live, dh * zt, dh) + np.matmul(du, self.p["rec"].transpose(0, 2, 1))
             summed = np.zeros((2, len(used), 3 * HIDDEN), np.float32)
             for k in range(2):
-                np.add.at(summed[k], order[k].ravel(), da[k].reshape(-1, 3 * HIDDEN))
+                np.add.at(summed[k], order[:, k].ravel(), da[:, k].reshape(-1, 3 * HIDDEN))
             grad["bias"] = summed.sum(axis=1, keepdims=True)
             grad["in"] = np.matmul(x.T[None], summed)
             dx = np.einsum("kuj,kdj->ud", summed, self.p["in"])
             grad["word"], grad["pair"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["pair"])
             np.add.at(grad["word"], word, dx)
-            np.add.at(grad["pair"], rows, np.repeat(dx / sizes[:, None], sizes, axis=0))
+            np.add.at(grad["pair"], rows, np.repeat(use * dx / sizes[:, None], sizes, axis=0))
             for k, v in self.p.items():
                 m1, m2 = moment[k]
                 m1 += 0.1 * (grad[k] - m1)
                 m2 += 0.001 * (grad[k] ** 2 - m2)
                 v -= RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-6)
+                if k in ("word", "pair"):
+                    v *= 1 - DECAY
         self.inputs, self.known = None, {}
 
-    def calibrate(self, texts: list[bytes], labels: np.ndarray) -> None:
-        """Logistic regression of the labels on the strongest and the mean window score, by Newton's method."""
+    def calibrate(self, texts: list[bytes], labels: np.ndarray, weight: np.ndarray) -> None:
+        """Weighted logistic regression of the labels on the strongest and the mean window score, by Newton's method."""
         f = np.column_stack([self.features(texts), np.ones(len(texts))])
         w = np.zeros(3)
-        for _ in range(30):
+        for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
-            hessian = (f * (p * (1 - p))[:, None]).T @ f + 1e-2 * np.eye(3)
-            w -= np.linalg.solve(hessian, f.T @ (p - labels) + 1e-2 * w)
+            hessian = (f * (weight * p * (1 - p))[:, None]).T @ f + 1e-2 * np.eye(3)
+            w -= np.linalg.solve(hessian, f.T @ (weight * (p - labels)) + 1e-2 * w)
         self.final = w
 
 
-def fit(texts: list[bytes], labels: np.ndarray) -> Network | None:
-    """A network for labelled texts; None unless both labels occur."""
+def fit(texts: list[bytes], labels: np.ndarray, prior: float | None = None) -> Network | None:
+    """A network for labelled texts; None unless both labels occur. ``prior``: the share of label 1 that scores should assume."""
     if len(set(labels.tolist())) < 2:
         return None
-    split = [words(t) for t in texts]
+    g = np.random.default_rng(5)
+    order = np.concatenate([g.permutation(np.flatnonzero(labels == y)) for y in (0, 1)])
+    place = np.concatenate([np.arange((labels == y).sum()) / (labels == y).sum() for y in (0, 1)])
+    part, rest = order[place >= CALIBRATE], order[place < CALIBRATE]
+    split, marks = [words(texts[i]) for i in part], labels[part]
     seen = [Counter(), Counter()]
-    for s, y in zip(split, labels, strict=True):
+    for s, y in zip(split, marks, strict=True):
         seen[y].update(set(s))
     both = Counter({w: seen[0][w] + seen[1][w] for w in set(seen[0]) | set(seen[1])})
-    chosen = sorted((w for w, c in both.items() if c >= 4), key=lambda w: (-both[w], w))
-    size = [int((labels == y).sum()) for y in (0, 1)]
+    chosen = sorted((w for w, c in both.items() if c >= max(3, FREQUENT * len(part))), key=lambda w: (-both[w], w))
+    size = [int((marks == y).sum()) for y in (0, 1)]
     odds = np.array([np.log((seen[1][w] + 0.5) / (size[1] + 1)) - np.log((seen[0][w] + 0.5) / (size[0] + 1)) for w in chosen])
-    odds *= np.array([both[w] / (both[w] + 5) for w in chosen])
+    error = np.array([np.sqrt(1 / (seen[1][w] + 0.5) + 1 / (seen[0][w] + 0.5)) for w in chosen])
+    odds = np.where(np.abs(odds) >= TELLING * error, odds * np.array([both[w] / (both[w] + 5) for w in chosen]), 0)
     # Of more words than the vocabulary holds, those most telling of a label.
-    keep = np.argsort(-np.abs(odds), kind="stable")[:VOCABULARY]
-    net = Network({chosen[i]: k + 1 for k, i in enumerate(keep)}, odds[keep].astype(np.float32) * 0.3)
-    g = np.random.default_rng(5)
-    samples, marks = [], []
-    for s, y in zip(split, labels, strict=True):
+    keep = np.argsort(-np.abs(odds), kind="stable")[: min(VOCABULARY, int((odds != 0).sum()))]
+    net = Network({chosen[i]: k + 1 for k, i in enumerate(keep)}, odds[keep].astype(np.float32) * HINT)
+    samples, targets = [], []
+    for s, y in zip(split, marks, strict=True):
         starts = window_starts(len(s))
         for k in g.permutation(len(starts))[:PER_DOC]:
             samples.append(s[starts[k] : starts[k] + WINDOW])
-            marks.append(y)
-    net.train(samples, np.array(marks))
-    net.calibrate(texts, labels)
+            targets.append(y)
+    net.train(samples, np.array(targets))
+    # The network hasn't seen these; weights restore the prior that sampling changed.
+    share = labels[rest].mean()
+    p = share if prior is None else prior
+    net.calibrate([texts[i] for i in rest], labels[rest], np.where(labels[rest] == 1, p / share, (1 - p) / (1 - share)))
     return net
 
 
@@ -294,7 +324,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # At most about 2 * sample ids: a bounded side.
     rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "t", "y").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["t"])))
-    return fit([bytes(r["t"]) for r in rows], np.array([r["y"] for r in rows], np.int64))
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
+    return fit([bytes(r["t"]) for r in rows], np.array([r["y"] for r in rows], np.int64), prior)
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
