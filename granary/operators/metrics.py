@@ -11,9 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALL = Window.partitionBy(F.lit(0))
-DOWN = ALL.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-UP = ALL.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+def whole():
+    """All distinct scores."""
+    return Window.partitionBy(F.lit(0))
+
+
+def down():
+    """Scores from the highest to this one."""
+    return whole().orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def up():
+    """Scores from the lowest to this one."""
+    return whole().orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def by_score(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -23,9 +33,9 @@ def by_score(rows: DataFrame, score: str = "score", label: str = "label") -> Dat
 
 def auc(grouped: DataFrame) -> DataFrame:
     """n, positives, auc with mid-ranks, gini in points, and the largest gap of the two distributions."""
-    before = F.sum("neg").over(UP) - F.col("neg")
+    before = F.sum("neg").over(up()) - F.col("neg")
     wins = F.col("pos") * (before + F.col("neg") / 2)
-    gap = F.abs(F.sum("pos").over(UP) / F.sum("pos").over(ALL) - F.sum("neg").over(UP) / F.sum("neg").over(ALL))
+    gap = F.abs(F.sum("pos").over(up()) / F.sum("pos").over(whole()) - F.sum("neg").over(up()) / F.sum("neg").over(whole()))
     out = grouped.select("n", "pos", "neg", wins.alias("w"), gap.alias("gap")).agg(F.sum("n").alias("n"), F.sum("pos").alias("positives"), F.sum("neg").alias("neg"), F.sum("w").alias("w"), F.max("gap").alias("ks"))
     area = F.col("w") / F.when(F.col("positives") * F.col("neg") > 0, F.col("positives") * F.col("neg"))
     return out.select("n", "positives", area.alias("auc"), ((2 * area - 1) * 100).alias("gini"), "ks")
@@ -33,13 +43,13 @@ def auc(grouped: DataFrame) -> DataFrame:
 
 def precision_recall(grouped: DataFrame) -> DataFrame:
     """Per threshold, downwards: precision and recall of all rows at or above it."""
-    tp, n = F.sum("pos").over(DOWN), F.sum("n").over(DOWN)
-    return grouped.select("score", (tp / n).alias("precision"), (tp / F.sum("pos").over(ALL)).alias("recall"))
+    tp, n = F.sum("pos").over(down()), F.sum("n").over(down())
+    return grouped.select("score", (tp / n).alias("precision"), (tp / F.sum("pos").over(whole())).alias("recall"))
 
 
 def average_precision(grouped: DataFrame) -> DataFrame:
-    tp, n = F.sum("pos").over(DOWN), F.sum("n").over(DOWN)
-    return grouped.select((F.col("pos") / F.sum("pos").over(ALL) * tp / n).alias("t")).agg(F.sum("t").alias("average_precision"))
+    tp, n = F.sum("pos").over(down()), F.sum("n").over(down())
+    return grouped.select((F.col("pos") / F.sum("pos").over(whole()) * tp / n).alias("t")).agg(F.sum("t").alias("average_precision"))
 
 
 def point_metrics(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -63,7 +73,7 @@ def alert_rate(rows: DataFrame, rate: float, order: list[Column], label: str = "
 def quantile_edges(rows: DataFrame, bins: int, score: str = "score") -> DataFrame:
     """(k, edge): the value at sorted place floor(k n / bins), k from 1, by counts of distinct values."""
     g = rows.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"))
-    g = g.withColumn("upto", F.sum("n").over(UP)).withColumn("all", F.sum("n").over(ALL))
+    g = g.withColumn("upto", F.sum("n").over(up())).withColumn("all", F.sum("n").over(whole()))
     k = F.explode(F.sequence(F.lit(1), F.lit(bins - 1))).alias("k")
     ks = g.select("score", "n", "upto", "all", k)
     place = F.floor(F.col("k") * F.col("all") / bins)
@@ -77,7 +87,7 @@ def stability(reference: DataFrame, current: DataFrame, edges: DataFrame, score:
     def shares(df: DataFrame, name: str) -> DataFrame:
         # One row of a few edges.
         b = df.select(F.col(score).alias("s")).crossJoin(F.broadcast(e)).select(F.size(F.filter("edges", lambda x: x <= F.col("s"))).alias("bin"))
-        return b.groupBy("bin").agg(F.count("*").alias("n")).select("bin", (F.col("n") / F.sum("n").over(ALL)).alias(name))
+        return b.groupBy("bin").agg(F.count("*").alias("n")).select("bin", (F.col("n") / F.sum("n").over(whole())).alias(name))
 
     bins = e.select(F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
     both = bins.join(shares(reference, "e"), "bin", "left").join(shares(current, "a"), "bin", "left")
@@ -98,7 +108,7 @@ def swap_sets(rows: DataFrame, champion: Column, challenger: Column, label: str
         F.count("*").alias("n"), count(F.col("a") & F.col("b")).alias("both"), count(inn).alias("swap_in"), count(out).alias("swap_out"), count(~F.col("a") & ~F.col("b")).alias("neither"),
         count(inn & (F.col("y") == 1)).alias("swap_in_bad"), count(out & (F.col("y") == 1)).alias("swap_out_bad"),
     )
-    share = (F.col("swap_out") / F.sum("swap_out").over(ALL)) / (F.col("n") / F.sum("n").over(ALL))
+    share = (F.col("swap_out") / F.sum("swap_out").over(whole())) / (F.col("n") / F.sum("n").over(whole()))
     return g.withColumn("concentration", share)
 
 
@@ -123,8 +133,8 @@ def equal_slices(grouped_rows: DataFrame, slices: int, order: str = "score", tie
     value, so no window holds more than the rows of one value.
     """
     values = grouped_rows.groupBy(F.col(order).alias("v")).agg(F.count("*").alias("n"))
-    up = ALL.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    values = values.select("v", (F.sum("n").over(up) - F.col("n")).alias("before"), F.floor(F.sum("n").over(ALL) / slices).alias("size"))
+    lower = whole().orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.select("v", (F.sum("n").over(lower) - F.col("n")).alias("before"), F.floor(F.sum("n").over(whole()) / slices).alias("size"))
     rows = grouped_rows.join(values, grouped_rows[order] == values["v"]).withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("v").orderBy(tie)) - 1)
     return rows.groupBy(F.least(F.floor(F.col("place") / F.col("size")) + 1, F.lit(slices)).cast("int").alias("slice")).agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("rate"))
 
@@ -132,7 +142,7 @@ def equal_slices(grouped_rows: DataFrame, slices: int, order: str = "score", tie
 def uplift_curve(rows: DataFrame) -> DataFrame:
     """Per distinct score, downwards: treated and control so far, and incremental outcomes. Rows: score, treated, outcome."""
     g = rows.groupBy("score").agg(*[F.sum(F.when(F.col("treated") == t, v).otherwise(0)).alias(n) for t in (1, 0) for n, v in ((f"n{t}", F.lit(1)), (f"y{t}", F.col("outcome")))])
-    s = {c: F.sum(c).over(DOWN) for c in ("n1", "y1", "n0", "y0")}
+    s = {c: F.sum(c).over(down()) for c in ("n1", "y1", "n0", "y0")}
     return g.select("score", s["n1"].alias("treated"), s["n0"].alias("control"), (s["y1"] - s["y0"] * s["n1"] / F.when(s["n0"] > 0, s["n0"])).alias("incremental"))
 
 
@@ -155,6 +165,6 @@ def doubly_robust(log: DataFrame) -> DataFrame:
 def weight_of_evidence(rows: DataFrame, bin_: Column, label: str = "label") -> DataFrame:
     """Per bin (missing values are a bin): goods, bads, weight of evidence and its part of the information value."""
     g = rows.groupBy(F.coalesce(bin_.cast("string"), F.lit("missing")).alias("bin")).agg(F.sum((F.col(label) == 0).cast("long")).alias("goods"), F.sum((F.col(label) == 1).cast("long")).alias("bads"))
-    gs, bs = F.col("goods") / F.sum("goods").over(ALL), F.col("bads") / F.sum("bads").over(ALL)
+    gs, bs = F.col("goods") / F.sum("goods").over(whole()), F.col("bads") / F.sum("bads").over(whole())
     woe = F.when((gs > 0) & (bs > 0), F.log(gs / bs))
     return g.select("bin", "goods", "bads", woe.alias("woe"), (woe * (gs - bs)).alias("iv"))

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from granary.functions import credit
 
-ACCOUNT = Window.partitionBy("account_id").orderBy("month_index")
+def account():
+    """An account's months in order."""
+    return Window.partitionBy("account_id").orderBy("month_index")
 
 
 def transition_pairs(panel: DataFrame) -> DataFrame:
     """Consecutive months of an account, exactly one apart: source and target bucket."""
-    nxt = panel.withColumn("next_month", F.lead("month_index").over(ACCOUNT)).withColumn("next_dpd", F.lead("dpd").over(ACCOUNT))
+    nxt = panel.withColumn("next_month", F.lead("month_index").over(account())).withColumn("next_dpd", F.lead("dpd").over(account()))
     return nxt.filter(F.col("next_month") == F.col("month_index") + 1).select("account_id", "month_index", credit.bucket_of(F.col("dpd")).alias("source"), credit.bucket_of(F.col("next_dpd")).alias("target"))
 
 
@@ -57,14 +59,14 @@ def vintage_curves(panel: DataFrame, cohort: Column, months: int) -> DataFrame:
 
 def trailing_features(panel: DataFrame) -> DataFrame:
     """Features from the months up to each row; windows count rows, and unknown months give null rather than 0."""
-    past = ACCOUNT.rowsBetween(Window.unboundedPreceding, 0)
+    past = account().rowsBetween(Window.unboundedPreceding, 0)
     out = panel.withColumn("months_observed", F.count("dpd").over(past)).withColumn("months_unobserved", F.count("*").over(past) - F.col("months_observed"))
     for w in (3, 6, 12):
-        recent = ACCOUNT.rowsBetween(-(w - 1), 0)
+        recent = account().rowsBetween(-(w - 1), 0)
         out = out.withColumn(f"max_dpd_{w}m", F.max("dpd").over(recent))
         out = out.withColumn(f"times_in_arrears_{w}m", F.when(F.count("dpd").over(recent) > 0, F.count(F.when(F.col("dpd") >= 30, 1)).over(recent)))
     out = out.withColumn("worst_dpd_ever", F.max("dpd").over(past)).withColumn("ever_in_arrears", (F.col("worst_dpd_ever") >= 30).cast("int"))
-    quarter = ACCOUNT.rowsBetween(-3, 0)
+    quarter = account().rowsBetween(-3, 0)
     out = out.withColumn("dpd_trend_3m", F.when(F.count("dpd").over(quarter) >= 2, F.last("dpd", True).over(quarter) - F.first("dpd", True).over(quarter)))
     some = F.when(F.col("balance") != 0, F.col("balance"))
     out = out.withColumn("b_n", F.count(some).over(past)).withColumn("b_first", F.first(some, True).over(past)).withColumn("b_last", F.last(some, True).over(past))
@@ -80,7 +82,7 @@ def trailing_features(panel: DataFrame) -> DataFrame:
 
 def behavioural_labels(panel: DataFrame, horizon: int = 12) -> DataFrame:
     """Label over the months (t, t + horizon]: BAD on a default, censored past the extract's end, null if nothing is known."""
-    ahead = ACCOUNT.rangeBetween(1, horizon)
+    ahead = account().rangeBetween(1, horizon)
     end = panel.agg(F.max("month_index").alias("extract_end"))
     out = panel.withColumn("max_ahead", F.max("dpd").over(ahead)).crossJoin(F.broadcast(end))
     default = credit.true(F.col("max_ahead") >= credit.DEFAULT_DPD)

@@ -9,22 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Distinct times are few, so one task may order them.
-BY_TIME = Window.partitionBy(F.lit(0)).orderBy("time")
+def by_time():
+    """Times in order: distinct times are few, so one task may hold them."""
+    return Window.partitionBy(F.lit(0)).orderBy("time")
 
 
 def at_risk(subjects: DataFrame, *counts: Column) -> DataFrame:
     """Per time: counts of events and the subjects still at risk."""
-    by_time = subjects.groupBy("time").agg(F.count("*").alias("n"), *counts)
-    before = BY_TIME.rowsBetween(Window.unboundedPreceding, -1)
+    counted = subjects.groupBy("time").agg(F.count("*").alias("n"), *counts)
+    before = by_time().rowsBetween(Window.unboundedPreceding, -1)
     total = Window.partitionBy(F.lit(0))
-    return by_time.withColumn("at_risk", F.sum("n").over(total) - F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return counted.withColumn("at_risk", F.sum("n").over(total) - F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
 def product_limit(subjects: DataFrame, event: Column) -> DataFrame:
     """Steps (time, survival) at the times of events."""
     t = at_risk(subjects, F.sum(event.cast("int")).alias("d")).filter("d > 0")
-    past = BY_TIME.rowsBetween(Window.unboundedPreceding, 0)
+    past = by_time().rowsBetween(Window.unboundedPreceding, 0)
     return t.select("time", "at_risk", "d", F.product(1 - F.col("d") / F.col("at_risk")).over(past).alias("survival"))
 
 
@@ -40,7 +41,7 @@ def cumulative_incidence(subjects: DataFrame) -> DataFrame:
     """Per time: cause-specific hazards, cumulative incidence of causes 1 and 2, and the naive 1 - survival of cause 1 alone."""
     t = at_risk(subjects, *[F.sum((F.col("cause") == k).cast("int")).alias(f"d{k}") for k in (1, 2)])
     h1, h2 = F.col("d1") / F.col("at_risk"), F.col("d2") / F.col("at_risk")
-    before, past = BY_TIME.rowsBetween(Window.unboundedPreceding, -1), BY_TIME.rowsBetween(Window.unboundedPreceding, 0)
+    before, past = by_time().rowsBetween(Window.unboundedPreceding, -1), by_time().rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("alive", F.coalesce(F.product(1 - h1 - h2).over(before), F.lit(1.0))).withColumn("naive", 1 - F.product(1 - h1).over(past))
     return t.select("time", "at_risk", "d1", "d2", F.sum(F.col("alive") * h1).over(past).alias("cif1"), F.sum(F.col("alive") * h2).over(past).alias("cif2"), "naive")
 

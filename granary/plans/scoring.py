@@ -161,5 +161,5 @@ def feature_group_encodings(spark: SparkSession, sf: str) -> DataFrame:
     x = F.when(F.col("l_linenumber") != 3, F.col("l_quantity"))
     m = l.groupBy("l_suppkey").agg(F.round(F.coalesce(F.avg(x), F.lit(-1.0)), 6).alias("mean_by"), F.round(F.coalesce(F.stddev_samp(x), F.lit(-1.0)), 6).alias("sd_by"), F.countDistinct("l_partkey").alias("kinds"))
     f = l.groupBy("l_quantity").agg(F.count("*").alias("n"))
-    f = f.select("l_quantity", F.round(F.col("n") / F.sum("n").over(M.ALL), 8).alias("frequency"))
+    f = f.select("l_quantity", F.round(F.col("n") / F.sum("n").over(M.whole()), 8).alias("frequency"))
     return l.join(m, "l_suppkey").join(f, "l_quantity").select("l_orderkey", "l_linenumber", "mean_by", "sd_by", "kinds", "frequency")

@@ -25,7 +25,7 @@ def plain(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.6g}")
+        return "nan" if math.isnan(v) else float(f"{v:.6g}") + 0.0
     if isinstance(v, int):
         return float(f"{v:.15g}") if abs(v) < 1 << 50 else v
     if isinstance(v, datetime.datetime):
