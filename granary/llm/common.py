@@ -1,58 +1,22 @@
-"""Helpers shared by the corpus operators: shared-folder tables and packed arrays."""
+"""Helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.storage import dropped, saved, shared_dir
+
+__all__ = ["dropped", "saved", "shared_dir"]
+
 #: What separates words: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows per Arrow batch sent to Python; long texts make the default of 10,000 too large.
 ARROW_ROWS = "1000"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share (``spark.checkpoint.dir``).
-
-    Set to a temporary folder only where the setting is missing and the master
-    is local; elsewhere a missing setting is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="granary-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saved_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table that :func:`saved` wrote and that nothing reads any more."""
-    path = getattr(df, "saved_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch: texts may be very long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > int(ARROW_ROWS):

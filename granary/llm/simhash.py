@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import dropped, saved, small_batches, utf8
+from granary.llm.common import saved, small_batches, utf8
+from granary.operators.graph import components
 
 MAX_DISTANCE = 3
 SHINGLE = 3
@@ -202,31 +203,6 @@ def links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition("slot", "key").sortWithinPartitions("slot", "key").mapInArrow(_links, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root) of every node with an edge, by alternating large and small stars.
-
-    Each round shuffles the links once per star, pre-aggregated, and is
-    written to the shared folder; the rounds grow with the logarithm of the
-    longest chain.
-    """
-    now = saved(edges.selectExpr("greatest(a, b) as a", "least(a, b) as b").filter("a <> b").distinct(), "links")
-    before = None
-    for _ in range(most):
-        both = now.unionByName(now.selectExpr("b as a", "a as b"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = now.join(low.withColumnRenamed("a", "b"), "b").selectExpr("a", "m as b").distinct()
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(root, "a").selectExpr("b as a", "m as b").unionByName(root.selectExpr("a", "m as b")).filter("a <> b")
-        new = saved(small.selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct(), "links")
-        state = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        dropped(now)
-        now = new
-        if state == before:
-            return now.selectExpr("a as node", "b as root")
-        before = state
-    raise RuntimeError("components did not settle")
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the smallest id reachable."""
     prints = saved(fingerprints(docs, [doc_id], text).select(F.col(f"row.`{doc_id}`").alias("doc_id"), "fp"), "fingerprints")
