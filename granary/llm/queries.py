@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import langid, mixing, packing, pii, quality, secrets, simhash, suffix, topk, toxicity
 from granary.llm.common import table
+from granary.llm.sql import SQL
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,8 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op4_secrets, op5_toxicity, op6_mixing, op7_langid, op8_topk, op9_simhash, op10_suffix)
 }
