@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,13 +183,15 @@ def model_out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def model_cox(spark: SparkSession, sf: str) -> DataFrame:
-    """Cox regression on account intervals, collected by distinct (interval, covariates) with bounded values."""
+    """Cox regression of default on the balance's step, over all accounts counted by time, event and step."""
     from granary.operators.panel import survival_subjects
     from granary.sources.tables import account_months
 
     s = survival_subjects(account_months(spark, sf)).select("time", (F.col("cause") == 1).cast("int").alias("event"), F.least(F.floor(F.col("balance") / 1e7), F.lit(5)).alias("x"))
-    sample = s.orderBy(F.xxhash64("time", "event", "x")).limit(2000).toPandas()
-    beta, value = K.cox(sample["time"].to_numpy(float) * 0 - 1, sample["time"].to_numpy(float), sample["event"].to_numpy(int), sample[["x"]].to_numpy(float))
+    # Months times two times six rows at most.
+    g = s.groupBy("time", "event", "x").agg(F.count("*").alias("n")).toPandas()
+    time = g["time"].to_numpy(float)
+    beta, value = K.cox(np.full(len(g), -1.0), time, g["event"].to_numpy(int), g[["x"]].to_numpy(float), g["n"].to_numpy(float)) if g["event"].any() else (np.zeros(1), 0.0)
     return spark.createDataFrame([("balance", float(beta[0]), float(value))], "feature string, coefficient double, log_likelihood double")
 
 

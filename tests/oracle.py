@@ -15,7 +15,8 @@ def connect(sf):
     con.execute("SET TimeZone='UTC'")
     for t in TABLES:
         if os.path.exists(f"{sf}/{t}.parquet"):
-            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+            files = f"{sf}/{t}.parquet" + ("/*.parquet" if os.path.isdir(f"{sf}/{t}.parquet") else "")
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{files}')")
     return con
 
 

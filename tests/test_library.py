@@ -62,6 +62,9 @@ def test_cox_recovers_the_hazard_ratio():
     t = np.ceil(g.exponential(10 / np.exp(0.8 * x)))
     beta, _ = kernels.cox(np.zeros(400), t, np.ones(400, int), x[:, None])
     assert abs(beta[0] - 0.8) < 0.25
+    rows, count = np.unique(np.column_stack([t, x]), axis=0, return_counts=True)
+    again, _ = kernels.cox(np.zeros(len(rows)), rows[:, 0], np.ones(len(rows), int), rows[:, 1:], count)
+    assert abs(again[0] - beta[0]) < 1e-6
 
 
 def test_standardised_index_is_standard():
