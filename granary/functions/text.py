@@ -37,9 +37,8 @@ INJECTION = [
 
 
 def terms(text: Column) -> Column:
-    """Terms in lower case, without points and hyphens at their ends."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda t: F.regexp_replace(F.lower(t), r"^[.\-]+|[.\-]+$", ""))
-    return F.filter(found, lambda t: t != "")
+    """Terms in lower case, without points and hyphens at their ends; none begins with one."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda t: F.rtrim(t, F.lit(".-")))
 
 
 def redacted(text: Column) -> Column:

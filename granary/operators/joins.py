@@ -47,10 +47,13 @@ KEY_LENGTH = 3
 
 
 def normalised_key(raw: Column) -> Column:
-    """struct(value, problem): blank, placeholder, characters, then length."""
-    text = F.trim(F.upper(F.regexp_replace(F.trim(raw), r"\s+", " ")))
-    problem = F.when(raw.isNull() | (text == ""), "null_key").when(text.isin(PLACEHOLDERS), "placeholder_key").when(~text.rlike("^[A-Z0-9][A-Z0-9_-]*$"), "charset_key").when(F.length(text) < KEY_LENGTH, "too_short_key")
-    return F.struct(F.when(problem.isNull(), text).alias("value"), problem.alias("problem"))
+    """struct(value, problem): blank, placeholder, characters, then length. The cleaned text is bound once, not repeated in each test."""
+
+    def judged(t: Column) -> Column:
+        problem = F.when(t.isNull() | (t == ""), "null_key").when(t.isin(PLACEHOLDERS), "placeholder_key").when(~t.rlike("^[A-Z0-9][A-Z0-9_-]*$"), "charset_key").when(F.length(t) < KEY_LENGTH, "too_short_key")
+        return F.struct(F.when(problem.isNull(), t).alias("value"), problem.alias("problem"))
+
+    return F.transform(F.array(F.trim(F.upper(F.regexp_replace(F.trim(raw), r"\s+", " ")))), judged)[0]
 
 
 def spine(loans: DataFrame, applications: DataFrame, cases: DataFrame) -> DataFrame:

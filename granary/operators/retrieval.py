@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import terms
+from granary.storage import saved
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -22,9 +23,11 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, query_tex
     Only postings of terms that a query holds are kept before they are counted.
     """
     q = queries.select(F.col(query_id).alias("query"), F.explode(terms(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qf"))
-    sizes = chunks.select(F.size(terms(F.col(text))).alias("n")).agg(F.count("*").alias("chunks"), F.avg("n").alias("average"))
+    # Texts are split into terms once; lengths and postings are read back.
     p = chunks.select(F.col(id_).alias("chunk"), terms(F.col(text)).alias("ts"), (eligible if eligible is not None else F.lit(True)).alias("eligible"))
-    p = p.select("chunk", "eligible", F.size("ts").alias("length"), F.explode("ts").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    p = saved(p.select("chunk", "eligible", F.size("ts").alias("length"), "ts"), "terms")
+    sizes = p.agg(F.count("*").alias("chunks"), F.avg("length").alias("average"))
+    p = p.select("chunk", "eligible", "length", F.explode("ts").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
     p = p.groupBy("chunk", "eligible", "length", "term").agg(F.count("*").alias("tf"))
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     # One row of totals.
