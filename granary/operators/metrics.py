@@ -146,6 +146,28 @@ def uplift_curve(rows: DataFrame) -> DataFrame:
     return g.select("score", s["n1"].alias("treated"), s["n0"].alias("control"), (s["y1"] - s["y0"] * s["n1"] / F.when(s["n0"] > 0, s["n0"])).alias("incremental"))
 
 
+def uplift_area(rows: DataFrame, id_: str = "id", chunk: int = 1 << 16) -> DataFrame:
+    """Area between the uplift curve over single rows and its diagonal, per row; ties in the score go by id.
+
+    Rows: id, score, treated, outcome. Each score's rows are cut into chunks of
+    ids, so that no ordered window holds more than ``chunk`` ids of a score; what
+    came before a chunk is summed over chunks.
+    """
+    names = ("n1", "y1", "n0", "y0")
+    part = F.floor(F.col(id_) / chunk)
+    arms = {n: F.when(F.col("treated") == t, v).otherwise(0) for t in (1, 0) for n, v in ((f"n{t}", F.lit(1)), (f"y{t}", F.col("outcome")))}
+    r = rows.select(id_, "score", part.alias("part"), *[arms[n].cast("double").alias(n) for n in names])
+    before = whole().orderBy(F.desc("score"), "part").rowsBetween(Window.unboundedPreceding, -1)
+    g = r.groupBy("score", "part").agg(*[F.sum(n).alias(n) for n in names])
+    g = g.select("score", "part", *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"b_{n}") for n in names])
+    inside = Window.partitionBy("score", "part").orderBy(id_).rowsBetween(Window.unboundedPreceding, 0)
+    c = r.join(g, ["score", "part"]).select(*[(F.col(f"b_{n}") + F.sum(n).over(inside)).alias(n) for n in names])
+    c = c.select((F.col("y1") - F.when(F.col("n0") > 0, F.col("y0") * F.col("n1") / F.col("n0")).otherwise(0.0)).alias("inc"), (F.col("n1") + F.col("n0")).alias("k"))
+    s = c.agg(F.count("*").alias("n"), F.sum("inc").alias("total"), F.max_by("inc", "k").alias("last"), F.min_by("inc", "k").alias("first"))
+    area = F.col("total") - (F.col("first") + F.col("last")) / 2
+    return s.select("n", F.when(F.col("n") >= 2, (area - F.col("last") * (F.col("n") - 1) / 2) / F.col("n")).alias("qini"))
+
+
 def balance(rows: DataFrame, covariates: list[str]) -> DataFrame:
     """Standardised mean difference of each covariate between the arms."""
     long = rows.select("treated", F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("x")) for c in covariates])).alias("c")).select("treated", "c.*")

@@ -76,3 +76,68 @@ def concordance(subjects: DataFrame, risk: Column) -> DataFrame:
         F.sum(F.when(F.col("a.risk") > F.col("b.risk"), n).otherwise(0)).alias("concordant"),
         F.sum(F.when(F.col("a.risk") == F.col("b.risk"), n).otherwise(0)).alias("tied"),
     ).withColumn("c", (F.col("concordant") + 0.5 * F.col("tied")) / F.col("comparable"))
+
+
+def _survival_before(values: DataFrame, steps: DataFrame, at: Column, name: str) -> DataFrame:
+    """``values`` with the step function's value before ``at``, 1 before its first step. Both sides are distinct times in months."""
+    s = steps.select(F.col("time").alias("at_"), F.col("survival").alias("s_"))
+    kept = values.columns
+    return values.join(s, s["at_"] < at, "left").groupBy(*kept).agg(F.coalesce(F.max_by("s_", "at_"), F.lit(1.0)).alias(name))
+
+
+def time_dependent_auc(subjects: DataFrame, risk: Column, times: list[int]) -> DataFrame:
+    """(t, auc): cases by t against those event-free after it, cases weighted by the inverse of staying uncensored up to their event.
+
+    Subjects are counted by (time, event, risk); for each horizon the controls
+    below and at a risk come from one running sum over distinct risks. Null
+    without cases or controls.
+    """
+    c = subjects.select("time", (F.col("cause") == 1).alias("event"), risk.cast("double").alias("risk")).groupBy("time", "event", "risk").agg(F.count("*").alias("n"))
+    g = _survival_before(c.filter("event").select("time").distinct(), censoring_survival(subjects), F.col("time"), "g")
+    c = c.join(F.broadcast(g), "time", "left")
+    t = c.withColumn("t", F.explode(F.array(*map(F.lit, times))))
+    case = F.when(F.col("event") & (F.col("time") <= F.col("t")) & (F.col("g") > 0), F.col("n") / F.col("g"))
+    by_risk = t.groupBy("t", "risk").agg(F.coalesce(F.sum(case), F.lit(0.0)).alias("w"), F.sum(F.when(F.col("time") > F.col("t"), F.col("n")).otherwise(0)).alias("controls"))
+    w = Window.partitionBy("t")
+    below = F.sum("controls").over(w.orderBy("risk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("controls")
+    x = by_risk.withColumn("wins", F.col("w") * (below + F.col("controls") / 2))
+    pairs = F.sum("w") * F.sum("controls")
+    return x.groupBy("t").agg((F.sum("wins") / F.when(pairs > 0, pairs)).alias("auc"))
+
+
+def calibration_at(subjects: DataFrame, predicted: Column, t: int, buckets: int = 10) -> DataFrame:
+    """(bucket, n, predicted, observed): mean predicted survival against the product-limit estimate within each bucket.
+
+    Buckets take equal numbers of subjects by prediction and are extended
+    through ties; their edges come from counts per distinct prediction.
+    """
+    from granary.operators import fits
+    from granary.operators.kernels import tie_extended_bins
+
+    s = subjects.select("time", "cause", predicted.cast("double").alias("score"))
+    g = fits.grouped_scores(s.withColumn("label", F.lit(0)))
+    if g.empty:
+        return s.sparkSession.createDataFrame([], "bucket int, n bigint, predicted double, observed double")
+    g["bucket"] = tie_extended_bins(g["score"].to_numpy(), g["n"].to_numpy(), buckets)
+    tops = g.groupby("bucket")["score"].max().tolist()
+    bucket = sum([(F.col("score") > e).cast("int") for e in tops[:-1]], F.lit(1))
+    b = s.withColumn("bucket", bucket)
+    n = b.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("score").alias("predicted"))
+    c = b.groupBy("bucket", "time").agg(F.count("*").alias("m"), F.sum((F.col("cause") == 1).cast("int")).alias("d"))
+    w = Window.partitionBy("bucket").orderBy("time").rowsBetween(0, Window.unboundedFollowing)
+    steps = c.withColumn("risk", F.sum("m").over(w)).filter((F.col("d") > 0) & (F.col("time") <= t)).groupBy("bucket").agg(F.product(1 - F.col("d") / F.col("risk")).alias("observed"))
+    return n.join(F.broadcast(steps), "bucket", "left").select("bucket", "n", "predicted", F.coalesce("observed", F.lit(1.0)).alias("observed"))
+
+
+def integrated_brier(subjects: DataFrame, survival: dict[int, float]) -> DataFrame:
+    """Brier scores over a grid of horizons, by trapezoids and divided by the grid's span; one predicted survival a horizon."""
+    grid = sorted(survival)
+    if len(grid) < 2:
+        raise ValueError("an integral needs two horizons")
+    each = [brier_at(subjects, survival[t], t).withColumn("t", F.lit(t)) for t in grid]
+    every = each[0]
+    for e in each[1:]:
+        every = every.unionByName(e)
+    w = Window.partitionBy(F.lit(0)).orderBy("t")
+    area = (F.col("t") - F.lag("t").over(w)) * (F.col("brier") + F.lag("brier").over(w)) / 2
+    return every.select(area.alias("a")).agg((F.sum("a") / (grid[-1] - grid[0])).alias("integrated_brier"))
