@@ -15,6 +15,9 @@ from granary.operators.metrics import by_score
 #: Distinct scores up to which a curve is fitted on the driver; more are rounded to this many steps by rank first.
 CURVE = 100_000
 
+#: Columns added for MLlib; named so that they do not hide a feature.
+VECTOR, WEIGHT = "__vector", "__weight"
+
 
 def grouped_scores(rows: DataFrame, score: str = "score", label: str = "label") -> pd.DataFrame:
     """Counts and positives per distinct score, ascending; scores are rounded until there are at most ``CURVE``."""
@@ -104,8 +107,8 @@ def logistic(rows: DataFrame, features: list[str], label: str = "label", l2: flo
 
     n, pos = rows.agg(F.count("*"), F.sum(F.col(label).cast("double"))).first()
     weight = F.when(F.col(label) == 1, n / (2.0 * max(pos, 1.0))).otherwise(n / (2.0 * max(n - pos, 1.0)))
-    x = VectorAssembler(inputCols=features, outputCol="x").transform(rows.withColumn("w", weight))
-    return LogisticRegression(featuresCol="x", labelCol=label, weightCol="w", regParam=l2, standardization=True).fit(x)
+    x = VectorAssembler(inputCols=features, outputCol=VECTOR).transform(rows.withColumn(WEIGHT, weight))
+    return LogisticRegression(featuresCol=VECTOR, labelCol=label, weightCol=WEIGHT, regParam=l2, standardization=True).fit(x)
 
 
 def out_of_fold(rows: DataFrame, features: list[str], id_: str, label: str = "label", folds: int = 3) -> DataFrame:
@@ -117,7 +120,7 @@ def out_of_fold(rows: DataFrame, features: list[str], id_: str, label: str = "la
     out = None
     for k in range(folds):
         model = logistic(rows.filter(fold != k), features, label)
-        held = VectorAssembler(inputCols=features, outputCol="x").transform(rows.filter(fold == k))
+        held = VectorAssembler(inputCols=features, outputCol=VECTOR).transform(rows.filter(fold == k))
         part = model.transform(held).select(id_, label, vector_to_array("probability")[1].alias("score"))
         out = part if out is None else out.unionByName(part)
     return out
