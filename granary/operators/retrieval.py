@@ -82,3 +82,13 @@ def conflicts(docs: DataFrame, day: Column) -> DataFrame:
     same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.product") == F.col("b.product")) & (F.col("a.id") < F.col("b.id"))
     free = ~F.coalesce(F.col("a.supersedes") == F.col("b.id"), F.lit(False)) & ~F.coalesce(F.col("b.supersedes") == F.col("a.id"), F.lit(False))
     return a.join(b, same & free).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.col("a.kind").alias("kind"))
+
+
+def reranked(candidates: DataFrame, queries: DataFrame, texts: DataFrame, score: Column, k: int) -> DataFrame:
+    """The candidates' first k by another scorer, an expression (or a pandas UDF over a model) on ``query_text`` and ``passage``.
+
+    Candidates: query, chunk. Queries: query, query_text. Texts: chunk, passage.
+    A candidate whose text is missing scores null and goes last.
+    """
+    x = candidates.select("query", "chunk").join(queries.select("query", "query_text"), "query").join(texts.select("chunk", "passage"), "chunk", "left")
+    return ranked(x.select("query", "chunk", F.coalesce(score, F.lit(float("-inf"))).alias("score")), k)

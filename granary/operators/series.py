@@ -118,3 +118,18 @@ def completeness(received: DataFrame, start: str, end: str, every: int) -> DataF
     expected = received.select("series").distinct().select("series", days)
     seen = received.select("series", "moment").distinct().withColumn("seen", F.lit(1))
     return expected.join(seen, ["series", "moment"], "left").groupBy("series").agg(F.count("*").alias("expected"), F.count("seen").alias("seen"), F.avg(F.coalesce("seen", F.lit(0))).alias("completeness"))
+
+
+def calibration_drift(df: DataFrame, shift: float, interval: float) -> DataFrame:
+    """Two-sided CUSUM of observed against expected rates, with the side that alarms. Rows: series, moment, expected, bads, accounts.
+
+    max(0, S + step) from zero is the running sum less its least value so far,
+    so both sides are windows; periods without accounts are left out.
+    """
+    d = df.filter("accounts > 0 and expected between 0 and 1").withColumn("observed", F.col("bads") / F.col("accounts"))
+    se = F.sqrt(F.col("expected") * (1 - F.col("expected")) / F.col("accounts"))
+    z = F.coalesce((F.col("observed") - F.col("expected")) / F.when(se > 0, se), F.lit(0.0))
+    d = d.withColumn("up_", F.sum(z - shift).over(past())).withColumn("down_", F.sum(-z - shift).over(past()))
+    side = lambda c: F.col(c) - F.least(F.min(c).over(past()), F.lit(0.0))
+    d = d.withColumn("upper", side("up_")).withColumn("lower", side("down_")).drop("up_", "down_")
+    return d.withColumn("alarm", F.when(F.col("upper") > interval, "under_predicting").when(F.col("lower") > interval, "over_predicting"))

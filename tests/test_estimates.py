@@ -154,3 +154,56 @@ def test_time_auc_and_calibration_against_rows(spark):
         members = order[start : start + r.n]
         assert math.isclose(r.observed, km(members, lambda k: k == 1, 6), rel_tol=1e-9)
         start += r.n
+
+
+def test_trigger_rules(spark):
+    import datetime
+
+    from granary.operators import triggers as T
+
+    plots = spark.createDataFrame([(1, None), (2, True), (3, False)], "plot int, sowing_observed boolean")
+    day = datetime.date(2024, 7, 1)
+    assert {r.subject for r in T.non_sowing(plots, day, day).collect()} == {"1", "3"}
+    assert T.non_sowing(plots, day, day + datetime.timedelta(1)).count() == 0
+    with pytest.raises(Unratified):
+        T.non_sowing(plots, day, Pending("sowing cutoff"))
+    wrong = spark.createDataFrame([(1, "2024-01-01", 12, -3.0)], "district int, observed string, timescale int, value double")
+    with pytest.raises(Exception, match="over 3 months"):
+        T.district_drought(wrong, -1.0).collect()
+    none = spark.createDataFrame([], "defaulted date, flagged date")
+    assert T.lead_summary(none, 45).first().defaults == 0
+
+
+def test_register_is_idempotent(spark):
+    from granary.operators import triggers as T
+
+    kind = "key string, content string"
+    old = spark.createDataFrame([("a", "x"), ("n", None)], kind)
+    assert T.registered(old, spark.createDataFrame([("a", "x"), ("b", "y"), ("n", None)], kind)).count() == 3
+    with pytest.raises(Exception, match="other content"):
+        T.registered(old, spark.createDataFrame([("a", "z")], kind)).collect()
+
+
+def test_policy_documents_and_reports(spark, tmp_path):
+    from granary.sources import policies as P
+
+    (tmp_path / "good.json").write_text('[{"table": "decisions", "kind": "decision", "years": 5, "grounds": "law"}, {"table": "t", "years": 9}]')
+    (tmp_path / "bad.json").write_text("{no")
+    good, bad = P.documents(spark, str(tmp_path), P.RETENTION, ("table", "kind", "years"))
+    assert [r.table for r in good.filter(P.too_short(F.col("years"), F.col("kind"))).collect()] == ["decisions"]
+    assert sorted(p for r in bad.collect() for p in r.problems) == ["kind_missing", "not_json"]
+    P.write_report(good, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_drift_is_the_recursion(spark):
+    from granary.operators import series as R
+
+    g = np.random.default_rng(6)
+    rows = [(1, i, 0.2, int(g.integers(9)), 20) for i in range(40)]
+    got = R.calibration_drift(spark.createDataFrame(rows + [(1, 99, 0.2, 0, 0)], "series int, moment int, expected double, bads int, accounts int"), 0.3, 2.0).orderBy("moment").collect()
+    up = low = 0.0
+    for r, (_, _, e, b, n) in zip(got, rows, strict=True):
+        z = (b / n - e) / math.sqrt(e * (1 - e) / n)
+        up, low = max(0, up + z - 0.3), max(0, low - z - 0.3)
+        assert math.isclose(r.upper, up, abs_tol=1e-9) and math.isclose(r.lower, low, abs_tol=1e-9)
