@@ -194,7 +194,7 @@ def incidence(hazards: DataFrame, key: str, time: str, first: str, second: str)
 
 
 def schoenfeld_trend(rows: DataFrame, beta: dict[str, float], time: str, event: str) -> DataFrame:
-    """(feature, trend): correlation of time with what an event's value exceeds its risk set's weighted mean by.
+    """(feature, trend): correlation of time with what an event's value exceeds its risk set's weighted mean by; null without events.
 
     Rows are person-periods; the rows of a period are its risk set, so the means
     are one grouping by period.
@@ -203,8 +203,9 @@ def schoenfeld_trend(rows: DataFrame, beta: dict[str, float], time: str, event:
     w = F.exp(sum([F.col(f) * float(b) for f, b in beta.items()], F.lit(0.0)))
     means = rows.groupBy(time).agg(*[(F.sum(w * F.col(f)) / F.sum(w)).alias(f"mean_{f}") for f in names])
     r = rows.filter(F.col(event) == 1).join(F.broadcast(means), time)
-    long = r.select(F.col(time).cast("double").alias("t"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f) - F.col(f"mean_{f}")).alias("r")) for f in names])).alias("x")).select("t", "x.*")
-    return long.groupBy("feature").agg(F.corr("t", "r").alias("trend"))
+    t = F.col(time).cast("double")
+    one = r.agg(*[F.corr(t, F.col(f) - F.col(f"mean_{f}")).alias(f) for f in names])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("trend")) for f in names])).alias("x")).select("x.*")
 
 
 def balance_probability(sums: DataFrame, value: str, by: list[str], least: int = 10) -> DataFrame:
