@@ -1,15 +1,19 @@
 """Secret scanning with a random forest against false positives, by DataFrame functions alone.
 
-Long runs of key-like characters are candidates. A forest judges each by its
+Candidates are long runs of key-like characters, values of any length after an
+announcing word and ``=`` or ``:``, and what stands between ``user:`` and
+``@host``. A value inside a long run is that run's finding; a value that goes
+beyond a run is a finding of its own. A forest judges each candidate by its
 length, the changes between kinds of characters, the share that dictionary
 words cover, whether it is a path, and the words beside it. The forest is
 trained in numpy on labelled findings and then compiled to one SQL expression,
 so scanning stays in DataFrame functions.
 
 The labelled findings are made by rule (:func:`findings`): keys in the forms
-that services issue, beside the words that announce them, and the look-alikes
-that scanners report wrongly: compound words, paths, identifiers, checksums of
-commits, placeholders and serial numbers. ``FINDINGS`` bounds their number.
+that services issue and passwords, beside the words that announce them, and the
+look-alikes that scanners report wrongly: compound words, paths, identifiers,
+checksums of commits, placeholders, serial numbers, plain words, code, counts
+and mail addresses. ``FINDINGS`` bounds their number.
 
 Defined cases: a null text counts as empty. Repeated rows are scanned row by
 row; an empty table gives an empty result; extra columns are never read.
@@ -26,6 +30,14 @@ from pyspark.sql import functions as F
 
 #: What may be a secret: a run of key characters, at least 16.
 CANDIDATE = r"(?:\G|(?<![A-Za-z0-9+/_.-]))[A-Za-z0-9+/_.-]{16,}+={0,2}"
+QUOTES = r"\x22\x27\x60"
+#: A value after an announcing word and = or :, in quotes or up to white space, a quote, a comma or a semicolon.
+ANNOUNCED = (
+    rf"(?<=[=:> \t{QUOTES}])(?<=(?i:token|secret|password|passwd|pwd|api.?key|access.?key|private.?key|credential|auth|bearer)[A-Za-z0-9_-]{{0,16}}[{QUOTES}\])\x5C]{{0,4}}[ \t]{{0,4}}[=:][=:> \t]{{0,6}}\x5C?[{QUOTES}]?)"
+    rf"(?:(?<=\x22)[^\x22\n]{{1,256}}(?=\x22)|(?<=\x27)[^\x27\n]{{1,256}}(?=\x27)|(?![=:>])[^\s{QUOTES},;]*[^\s{QUOTES},;.)\]}}>\x5C])"
+)
+#: The password of ``user:password@host``.
+LOGIN = rf"(?<=[A-Za-z0-9_.%+-]:)[^\s{QUOTES}@:/<>]++(?=@[A-Za-z0-9\[])"
 #: Code points before a candidate whose words count.
 NEAR = 40
 FINDINGS = 4000
@@ -43,7 +55,7 @@ DICTIONARY = (
 
 FEATURES = {
     "length": "length(v)",
-    "changes": "size(filter(sequence(1, length(v) - 1), i -> substr(k, i, 1) <> substr(k, i + 1, 1))) / (length(v) - 1.0)",
+    "changes": "if(length(v) < 2, 0.0, size(filter(sequence(1, greatest(length(v) - 1, 1)), i -> substr(k, i, 1) <> substr(k, i + 1, 1))) / greatest(length(v) - 1.0, 1.0))",
     "digits": "(length(v) - length(regexp_replace(v, '[0-9]', ''))) / cast(length(v) as double)",
     "distinct": "size(array_distinct(split(v, ''))) / cast(length(v) as double)",
     "words": f"(length(v) - length(regexp_replace(lower(v), '{'|'.join(sorted(set(DICTIONARY), key=lambda w: (-len(w), w)))}', ''))) / cast(length(v) as double)",
@@ -53,6 +65,12 @@ FEATURES = {
     "key_near": f"if(near rlike '(?:{KEY_WORDS})', 1.0, 0.0)",
     "plain_near": f"if(near rlike r'\\b(?:{PLAIN_WORDS})\\b', 1.0, 0.0)",
     "placed": "if(near rlike '[=:][^A-Za-z0-9]*$', 1.0, 0.0)",
+    "kinds": "if(v rlike '[a-z]', 1.0, 0.0) + if(v rlike '[A-Z]', 1.0, 0.0) + if(v rlike '[0-9]', 1.0, 0.0) + if(v rlike '[^A-Za-z0-9]', 1.0, 0.0)",
+    "marks": "cast(size(regexp_extract_all(v, '[^A-Za-z0-9+/_.-]', 0)) as double)",
+    "hole": r"if(v rlike r'^[$<{%*(\[]|[(\[{]|^(?:x+|X+|[*.]+)$', 1.0, 0.0)",
+    "spaced": "cast(size(regexp_extract_all(v, ' ', 0)) as double)",
+    "login": "if(near rlike r'(?:^|[^a-z])(?:[a-z0-9+.-]+://)?[a-z0-9_.%+-]+:$', 1.0, 0.0)",
+    "mail": "if(near rlike r'(?:mailto|mail|contact|sip|acct|xmpp|from|to|cc|by)[^a-z0-9]*:[^a-z0-9]*$', 1.0, 0.0)",
 }
 #: Kinds of characters: lower, upper, digit, other.
 KINDS = "translate(translate(translate(v, 'bcdefghijklmnopqrstuvwxyz', repeat('a', 25)), 'BCDEFGHIJKLMNOPQRSTUVWXYZ', repeat('A', 25)), '123456789', repeat('0', 9))"
@@ -65,11 +83,21 @@ def featured(candidates: DataFrame) -> DataFrame:
 
 
 def findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """Labelled findings (near, v, label): ten forms in equal numbers, five of them secrets."""
+    """Labelled findings (near, v, label): twenty forms in equal numbers, ten of them secrets."""
     words = "array(" + ", ".join(f"'{w}'" for w in DICTIONARY) + ")"
     word = lambda i: f"element_at({words}, 1 + cast(pmod(xxhash64(id, {i}), size({words})) as int))"
     hexa, joined = "sha2(cast(id as string), 256)", ", ".join(word(i) for i in range(8))
     base = f"base64(unhex({hexa}))"
+    plain = f"translate({base}, '+/=', 'kQ7')"
+    turn = "cast(id div 20 as int)"
+    one_of = lambda *parts: f"element_at(array({', '.join(parts)}), 1 + {turn} % {len(parts)})"
+    mark = one_of(*(f"'{c}'" for c in "&!$#%^*?@-_+"))
+    asks = one_of("'password = '", "'pwd: '", "'passwd='", "'password: \"'", "'secret: '", "'auth = '", "'db_password='")
+    signs = one_of("'postgres://admin:'", "'connect user:'", "'ftp://anna:'", "'https://bot7:'", "'login root:'")
+    mixed = f"concat(substr({plain}, 1, 3 + {turn} % 6), {mark}, substr({plain}, 20, 1 + {turn} % 5), cast({turn} % 10 as string))"
+    spelt = f"concat({word(30)}, cast(1 + {turn} % 9 as string), if({turn} % 3 = 0, '', {word(31)}))"
+    broken = f"concat(substr({word(32)}, 1, 1), cast({turn} % 10 as string), substr({hexa}, 1, 3 + {turn} % 4), {word(33)})"
+    code = one_of(f"concat('os.environ[', {word(34)}, ']')", f"concat('$', '{{', upper({word(34)}), '}}')", f"concat('<', {word(34)}, '-', {word(35)}, '>')", f"concat('get_', {word(34)}, '()')", f"concat('%(', {word(34)}, ')s')", f"concat('{{{{', {word(34)}, '}}}}')")
     forms = [
         (f"substr({hexa}, 1, 40)", "'token = \"'", 1),
         (f"translate({base}, '=', '')", "'api_key: '", 1),
@@ -80,9 +108,19 @@ def findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (f"'/usr/' || concat_ws('/', {joined})", "'the path '", 0),
         (f"substr({hexa}, 1, 40)", "'commit '", 0),
         (f"concat_ws('_', {joined})", "'class '", 0),
-        (f"if(id % 20 < 10, repeat('x', 16 + cast(id % 9 as int)), '2024' || substr(conv(substr({hexa}, 1, 14), 16, 10), 1, 14))", "'token = '", 0),
+        (f"if({turn} % 2 = 0, repeat('x', 16 + cast(id % 9 as int)), '2024' || substr(conv(substr({hexa}, 1, 14), 16, 10), 1, 14))", "'token = '", 0),
+        (mixed, asks, 1),
+        (spelt, asks, 1),
+        (broken, asks, 1),
+        (f"if({turn} % 2 = 0, {broken}, {spelt})", signs, 1),
+        (mixed, signs, 1),
+        (f"if({turn} % 3 = 0, initcap({word(36)}), {one_of(word(36), word(37), "'none'", "'null'", "'true'", "'required'", "'he'", "'a'", "'optional'")})", asks, 0),
+        (code, asks, 0),
+        (f"if({turn} % 2 = 0, repeat('*', 1 + {turn} % 12), repeat('x', 1 + {turn} % 12))", asks, 0),
+        (f"if({turn} % 2 = 0, concat({word(38)}, '.', {word(39)}), concat({word(38)}, cast({turn} % 90 as string)))", one_of("'mailto:'", "'email:'", "'contact: '", "'sip:'"), 0),
+        (f"if({turn} % 2 = 0, cast({turn} * 7 % 5000 as string), concat_ws(' ', {word(40)}, {word(41)}, {word(42)}, {word(43)}))", one_of("'tokens: '", "'token count = '", "'secret: \"'", "'auth: '"), 0),
     ]
-    kind = "cast(id % 10 as int)"
+    kind = f"cast(id % {len(forms)} as int)"
     pick = lambda i: "element_at(array(" + ", ".join(str(f[i]) for f in forms) + f"), 1 + {kind})"
     lead = f"concat({word(20)}, ' ', {word(21)}, ' ', {pick(1)})"
     return spark.range(n).selectExpr(f"lower({lead}) as near", f"{pick(0)} as v", f"{pick(2)} as label")
@@ -157,11 +195,19 @@ def vote(trees: list[Leaf | Split], row: np.ndarray) -> float:
 def candidates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, s, e, v and near of every candidate; position by the lengths of the text between candidates."""
     given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    found = given.selectExpr("doc_id", "t", f"regexp_extract_all(t, r'{CANDIDATE}', 0) as m").filter("size(m) > 0")
-    placed = f"""aggregate(zip_with(slice(split(t, r'{CANDIDATE}', -1), 1, size(m)), m, (g, v) -> struct(length(g) as g, v as v)),
-      struct(0 as at, cast(array() as array<struct<s:int,v:string>>) as found),
-      (acc, x) -> struct(acc.at + x.g + length(x.v) as at, concat(acc.found, array(struct(acc.at + x.g as s, x.v as v))) as found), acc -> acc.found)"""
-    rows = found.selectExpr("doc_id", "t", f"explode({placed}) as c")
+    rules = {"runs": CANDIDATE, "announced": ANNOUNCED, "logins": LOGIN}
+    found = given.selectExpr("doc_id", "t", *[f"regexp_extract_all(t, r'{rule}', 0) as {name}" for name, rule in rules.items()])
+    found = found.filter(" or ".join(f"size({name}) > 0" for name in rules))
+    none = "cast(array() as array<struct<s:int,v:string>>)"
+
+    def placed(name: str, rule: str) -> str:
+        return f"""if(size({name}) = 0, {none}, aggregate(zip_with(slice(split(t, r'{rule}', -1), 1, size({name})), {name}, (g, v) -> struct(length(g) as g, v as v)),
+      struct(0 as at, {none} as found),
+      (acc, x) -> struct(acc.at + x.g + length(x.v) as at, concat(acc.found, array(struct(acc.at + x.g as s, x.v as v))) as found), acc -> acc.found)) as {name}"""
+
+    found = found.selectExpr("doc_id", "t", *[placed(name, rule) for name, rule in rules.items()])
+    outside = "filter(array_union(announced, logins), x -> not exists(runs, r -> r.s <= x.s and x.s + length(x.v) <= r.s + length(r.v)))"
+    rows = found.selectExpr("doc_id", "t", f"explode(concat(runs, {outside})) as c")
     return rows.selectExpr("doc_id", "c.s as s", "c.s + length(c.v) as e", "c.v as v", f"lower(substring(t, greatest(c.s - {NEAR}, 0) + 1, least(c.s, {NEAR}))) as near")
 
 
