@@ -37,12 +37,12 @@ VOCABULARY = 4096
 #: Documents of a label that the network learns from, about, and windows of each.
 SAMPLE, PER_DOC = 1200, 4
 STEPS, BATCH, RATE, DECAY = 150, 128, 0.005, 0.003
-#: Scale of the log odds that embeddings start with, and standard errors from which they tell of a label.
+#: Scale of the log odds that embeddings start with, and standard errors from which words tell of a label.
 HINT, TELLING = 2.0, 3.0
 #: Windows scored at once, and words whose inputs are remembered.
 CHUNK, REMEMBER = 1024, 100_000
-#: Share of the documents learned from in which a word must occur to have an embedding, and share kept for calibration.
-FREQUENT, CALIBRATE = 0.02, 0.3
+#: Documents in which a word must occur to have an embedding, and share kept for calibration.
+LEAST, CALIBRATE = 4, 0.3
 
 #: Letters and digits in lower case; other ASCII separates words.
 CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -290,11 +290,14 @@ def fit(texts: list[bytes], labels: np.ndarray, prior: float | None = None) -> N
     for s, y in zip(split, marks, strict=True):
         seen[y].update(set(s))
     both = Counter({w: seen[0][w] + seen[1][w] for w in set(seen[0]) | set(seen[1])})
-    chosen = sorted((w for w, c in both.items() if c >= max(3, FREQUENT * len(part))), key=lambda w: (-both[w], w))
+    chosen = sorted((w for w, c in both.items() if c >= LEAST), key=lambda w: (-both[w], w))
     size = [int((marks == y).sum()) for y in (0, 1)]
     odds = np.array([np.log((seen[1][w] + 0.5) / (size[1] + 1)) - np.log((seen[0][w] + 0.5) / (size[0] + 1)) for w in chosen])
-    error = np.array([np.sqrt(1 / (seen[1][w] + 0.5) + 1 / (seen[0][w] + 0.5)) for w in chosen])
-    odds = np.where(np.abs(odds) >= TELLING * error, odds * np.array([both[w] / (both[w] + 5) for w in chosen]), 0)
+    # Standard errors of the difference of the labels' shares if there is none; log odds of words never seen with a label have no usable error.
+    pooled = np.array([both[w] / sum(size) for w in chosen])
+    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / size[0] + 1 / size[1]))
+    gap = np.array([seen[1][w] / size[1] - seen[0][w] / size[0] for w in chosen])
+    odds = np.where(np.abs(gap) >= TELLING * error, odds * np.array([both[w] / (both[w] + 5) for w in chosen]), 0)
     # Of more words than the vocabulary holds, those most telling of a label.
     keep = np.argsort(-np.abs(odds), kind="stable")[: min(VOCABULARY, int((odds != 0).sum()))]
     net = Network({chosen[i]: k + 1 for k, i in enumerate(keep)}, odds[keep].astype(np.float32) * HINT)

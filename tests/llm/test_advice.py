@@ -1,6 +1,10 @@
 """Cases that a review of the corpus operators named."""
 
-from granary.llm import secrets
+import random
+
+import numpy as np
+
+from granary.llm import secrets, toxicity
 
 
 def test_short_and_broken_secrets(spark):
@@ -23,3 +27,21 @@ def test_short_and_broken_secrets(spark):
     assert all(d < len(hidden) for d, _ in told)
     # Look-alikes are candidates that the forest judges.
     assert {r["doc_id"] for r in rows} == set(range(len(texts)))
+
+
+def test_rare_insults_enter_the_vocabulary():
+    g = random.Random(9)
+    spelt = lambda: "".join(g.choice("abcdefgh") for _ in range(7))
+    common, insults = [spelt() for _ in range(300)], [spelt() for _ in range(40)]
+    rows = []
+    for i in range(2000):
+        text = [g.choice(common) for _ in range(30)]
+        if i % 2:
+            text[g.randrange(30)] = insults[(i // 2) % 40]
+        rows.append((" ".join(text).encode(), i % 2))
+    labels = np.array([y for _, y in rows])
+    net = toxicity.fit([t for t, _ in rows[:1600]], labels[:1600])
+    # Each insult is in about 1 % of the documents learned from, and in none that is clean.
+    assert {w.encode() for w in insults} <= set(net.vocabulary)
+    right = (net.probabilities([t for t, _ in rows[1600:]]) >= 0.5) == labels[1600:]
+    assert right.mean() > 0.9
