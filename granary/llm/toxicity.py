@@ -4,7 +4,8 @@ A word enters as the sum of what its own embedding and the mean embedding of
 its character pairs contribute; words outside the vocabulary share one
 embedding and are told apart by their characters. Both directions run over
 windows of words; attention over the states pools a window, a linear layer
-scores it. All overlapping windows of a text are scored, and the strongest and
+scores it. Windows of 48 words begin every 24 words and at the end, so any
+passage of up to 25 words is whole in one; the strongest and
 the mean window score give the document's probability by logistic regression.
 The network is trained in numpy, by backpropagation through time.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import crc_fold, small_batches, utf8
 
-WINDOW, STRIDE = 48, 40
+WINDOW, STRIDE = 48, 24
 HIDDEN, DIM, ATTENTION = 8, 8, 8
 PAIRS = 2048
 VOCABULARY = 4096

@@ -45,3 +45,9 @@ def test_rare_insults_enter_the_vocabulary():
     assert {w.encode() for w in insults} <= set(net.vocabulary)
     right = (net.probabilities([t for t, _ in rows[1600:]]) >= 0.5) == labels[1600:]
     assert right.mean() > 0.9
+
+
+def test_passages_lie_whole_in_a_window():
+    for n in range(25, 400):
+        starts = toxicity.window_starts(n)
+        assert all(any(s <= p and p + 25 <= s + toxicity.WINDOW for s in starts) for p in range(n - 24))
