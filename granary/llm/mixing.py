@@ -172,3 +172,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def mix_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", budget: float = BUDGET, entropy: float = ENTROPY, repeat: float = REPEAT, block: int = BLOCK, seed: str = SEED) -> DataFrame:
     """``docs`` with each row as often as the mix takes it."""
     return _mixed(docs, doc_id, text, source, budget, entropy, repeat, block, seed).select("row.*")
+
+
+def realised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", budget: float = BUDGET, entropy: float = ENTROPY, repeat: float = REPEAT, block: int = BLOCK, seed: str = SEED) -> DataFrame:
+    """Per source: tokens, weight and budget as targets, the tokens :func:`mix` takes, their share of all taken, and the shortfall in tokens."""
+    slim = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([doc_id, text, source])])
+    sizes = slim.select(F.col(f"`{source}`").alias("source"), words(f"`{text}`").alias("tokens"))
+    target = saved(weights(sizes, budget, entropy, repeat), "targets")
+    got = mix(slim, doc_id, text, source, budget, entropy, repeat, block, seed).groupBy(F.col("source").alias("s")).agg(F.sum("n_tokens").alias("n"))
+    got = saved(got, "realised")
+    total = got.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    taken = F.coalesce("n", F.lit(0))
+    joined = target.join(got, target["source"].eqNullSafe(got["s"]), "left")
+    return joined.select("source", "tokens", "weight", "budget", taken.alias("taken"), (taken / F.lit(float(max(total, 1)))).alias("realised"), (F.col("budget") - taken).alias("shortfall"))

@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from granary.llm import secrets, toxicity
+import corpus_pipeline
+from granary.llm import mixing, secrets, simhash, toxicity
 
 
 def test_short_and_broken_secrets(spark):
@@ -51,3 +52,15 @@ def test_passages_lie_whole_in_a_window():
     for n in range(25, 400):
         starts = toxicity.window_starts(n)
         assert all(any(s <= p and p + 25 <= s + toxicity.WINDOW for s in starts) for p in range(n - 24))
+
+
+def test_realised_weights_show_what_a_long_document_costs(spark):
+    rows = [(i, "w " * 10, "large") for i in range(200)] + [(1000, "w " * 900, "small"), (1001, "w " * 5, "small")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r["source"]: r["n"] for r in mixing.mix(df, budget=0.5).groupBy("source").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n").collect()}
+    told = {r["source"]: r for r in mixing.realised(df, budget=0.5).collect()}
+    assert set(told) == {"large", "small"}
+    for source, r in told.items():
+        assert r["taken"] == taken.get(source, 0) and r["shortfall"] == r["budget"] - r["taken"] >= 0
+        assert abs(r["realised"] - r["taken"] / sum(taken.values())) < 1e-12
+    assert told["small"]["shortfall"] > 0.9 * told["small"]["budget"] and told["small"]["realised"] < 0.1 * told["small"]["weight"]
