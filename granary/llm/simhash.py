@@ -215,17 +215,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest id of each group, once, with all its columns.
+    """One document of each group, with all its columns: the smallest id that the group has, of its texts the one with the smallest md5.
 
-    A group of which no row has an id keeps one row.
+    Ids may repeat or be null. A group of which no row has an id keeps one row.
     """
-    groups = near_duplicates(docs, doc_id, text)
-    first = groups.filter("doc_id <=> component_id")
-    ids = saved(first.filter("doc_id is not null").select("doc_id").distinct(), "representatives")
-    named = docs.join(ids, docs[f"`{doc_id}`"] == ids["doc_id"], "left_semi").dropDuplicates([doc_id])
-    nameless = saved(first.filter("doc_id is null").select("fingerprint").distinct(), "nameless")
-    if nameless.isEmpty():
-        return named
-    alone = fingerprints(docs.filter(F.col(f"`{doc_id}`").isNull()), docs.columns, text)
-    alone = alone.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).join(nameless, "fingerprint", "left_semi")
-    return named.unionByName(alone.dropDuplicates(["fingerprint"]).select("row.*"))
+    body = F.md5(utf8(F.col(f"`{text}`")))
+    slim = docs.select(F.col(f"`{doc_id}`").alias("id"), body.alias("body"), F.col(f"`{text}`").alias("text"))
+    # The least (no id, id, body) of a group, so that a null id stands only where the group has no other.
+    rank = F.struct(F.col("row.id").isNull().alias("none"), F.col("row.id").alias("id"), F.col("row.body").alias("body"))
+    distinct = saved(fingerprints(slim, ["id", "body"]).groupBy("fp").agg(F.min(rank).alias("least")), "distinct")
+    roots = components(links(distinct.select("fp")))
+    grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
+    chosen = grouped.groupBy("root").agg(F.min("least").alias("least"))
+    picked = saved(chosen.select(F.col("least.id").alias("picked_id"), F.col("least.body").alias("picked_body")), "representatives")
+    mark = "_".join(["body", *docs.columns])
+    rows = docs.withColumn(mark, body)
+    kept = rows.join(picked, F.col(f"`{doc_id}`").eqNullSafe(picked["picked_id"]) & (F.col(f"`{mark}`") == picked["picked_body"]), "left_semi")
+    return kept.dropDuplicates([doc_id, mark]).drop(mark)

@@ -54,6 +54,16 @@ def test_passages_lie_whole_in_a_window():
         assert all(any(s <= p and p + 25 <= s + toxicity.WINDOW for s in starts) for p in range(n - 24))
 
 
+def test_one_id_on_two_texts_keeps_both_groups(spark):
+    g = random.Random(2)
+    a, b, c = (" ".join(g.choice("abcdefghij") * 3 + str(g.randrange(99)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a, 0), (1, b, 1), (2, b, 2), (3, a, 3), (None, c, 4), (None, c, 5), (None, a, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    kept = simhash.keep_representatives(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, a), (1, b), (0, c)])
+
+
 def test_realised_weights_show_what_a_long_document_costs(spark):
     rows = [(i, "w " * 10, "large") for i in range(200)] + [(1000, "w " * 900, "small"), (1001, "w " * 5, "small")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
