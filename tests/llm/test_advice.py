@@ -74,3 +74,11 @@ def test_realised_weights_show_what_a_long_document_costs(spark):
         assert r["taken"] == taken.get(source, 0) and r["shortfall"] == r["budget"] - r["taken"] >= 0
         assert abs(r["realised"] - r["taken"] / sum(taken.values())) < 1e-12
     assert told["small"]["shortfall"] > 0.9 * told["small"]["budget"] and told["small"]["realised"] < 0.1 * told["small"]["weight"]
+
+
+def test_run_writes_every_stage(spark, sf, monkeypatch):
+    wrote = []
+    monkeypatch.setattr(corpus_pipeline, "saved", lambda df, name: wrote.append(name) or df.limit(20))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, lambda spark, docs, sf_dir: docs) for name, _ in corpus_pipeline.STAGES])
+    assert corpus_pipeline.run(spark, sf).count() == 20
+    assert wrote == ["stage-quality", "stage-simhash", "stage-pii", "stage-mixing"]
