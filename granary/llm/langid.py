@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import crc_fold, small_batches
+from granary.llm.common import col, crc_fold, small_batches
 
 ORDER = 3
 #: Documents of a language to learn from, about.
@@ -143,7 +143,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, sample: int = SAMPLE) -> Model:
     """A model of all languages among the learning folds, from a bounded sample."""
-    given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
+    given = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), col(lang).alias("lang"))
     known = given.filter("text is not null and lang is not null").filter(crc_fold("doc_id") != 0)
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.crc32(F.concat(F.lit("learn/"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), F.lit(1 << 20))
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     small_batches(spark)
     model = learn(docs, doc_id, text, lang, order, sample)
     sent = spark.sparkContext.broadcast(model)
-    given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    given = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     given = given.select("doc_id", (crc_fold("doc_id") == 0).alias("held_out"), "text")
     kind = given.schema["doc_id"].dataType.simpleString()
 

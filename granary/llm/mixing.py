@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WORD, saved
+from granary.llm.common import WORD, col, saved
 
 #: Target entropy as a share of the greatest possible, log of the number of sources.
 ENTROPY = 0.98
@@ -41,8 +41,8 @@ HALVINGS, PASSES = 6, 8
 
 
 def words(text: str) -> Column:
-    """Tokens of a text: words between white space."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
+    """Tokens of a text column: words between white space."""
+    return F.coalesce(F.regexp_count(col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
 def _searched(sources: DataFrame, measure, low_if) -> float:
@@ -110,9 +110,9 @@ def _digest(*parts) -> Column:
 
 def _keyed(docs: DataFrame, doc_id: str, text: str, source: str, seed: str) -> DataFrame:
     """``row`` (all columns), ``source`` and ``key``, the document's digest."""
-    body = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
-    key = _digest(F.lit(seed), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), body)
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").alias("source"), key.alias("key"), words(f"`{text}`").alias("tokens"))
+    body = F.md5(F.coalesce(col(text), F.lit("")).cast("binary"))
+    key = _digest(F.lit(seed), F.coalesce(col(doc_id).cast("string"), F.lit("")), body)
+    return docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(source).alias("source"), key.alias("key"), words(text).alias("tokens"))
 
 
 def _in_block(keyed: DataFrame, named: DataFrame) -> DataFrame:
@@ -164,9 +164,9 @@ def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, budget: float,
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", budget: float = BUDGET, entropy: float = ENTROPY, repeat: float = REPEAT, block: int = BLOCK, seed: str = SEED) -> DataFrame:
     """doc_id, source, n_tokens and epoch (from 1) of every copy of a document in the mix."""
-    slim = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([doc_id, text, source])])
+    slim = docs.select(*[col(c) for c in dict.fromkeys([doc_id, text, source])])
     got = _mixed(slim, doc_id, text, source, budget, entropy, repeat, block, seed)
-    return got.select(F.col(f"row.`{doc_id}`").alias("doc_id"), "source", F.col("tokens").alias("n_tokens"), "epoch")
+    return got.select(col(doc_id, "row").alias("doc_id"), "source", F.col("tokens").alias("n_tokens"), "epoch")
 
 
 def mix_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", budget: float = BUDGET, entropy: float = ENTROPY, repeat: float = REPEAT, block: int = BLOCK, seed: str = SEED) -> DataFrame:
@@ -176,8 +176,8 @@ def mix_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 
 def realised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", budget: float = BUDGET, entropy: float = ENTROPY, repeat: float = REPEAT, block: int = BLOCK, seed: str = SEED) -> DataFrame:
     """Per source: tokens, weight and budget as targets, the tokens :func:`mix` takes, their share of all taken, and the shortfall in tokens."""
-    slim = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([doc_id, text, source])])
-    sizes = slim.select(F.col(f"`{source}`").alias("source"), words(f"`{text}`").alias("tokens"))
+    slim = docs.select(*[col(c) for c in dict.fromkeys([doc_id, text, source])])
+    sizes = slim.select(col(source).alias("source"), words(text).alias("tokens"))
     target = saved(weights(sizes, budget, entropy, repeat), "targets")
     got = mix(slim, doc_id, text, source, budget, entropy, repeat, block, seed).groupBy(F.col("source").alias("s")).agg(F.sum("n_tokens").alias("n"))
     got = saved(got, "realised")

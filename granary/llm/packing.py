@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from granary.llm.common import saved, small_batches
+from granary.llm.common import col, saved, small_batches
 
 LENGTH = 1024
 END = 2
@@ -55,7 +56,8 @@ def encoder(path: str):
     """texts -> arrays of ids, as the tokenizers library gives them with add_special_tokens=False.
 
     The merges in the JSON file are ranks, which a faster byte-pair encoder
-    can use; a text that spells a special token goes to the library itself.
+    can use; a text that spells a special token goes to the library itself, as
+    does one that the faster encoder refuses: very long runs of white space.
     """
     import public_tokenizers
     import tiktoken
@@ -68,9 +70,12 @@ def encoder(path: str):
     special = [x["content"] for x in json.load(open(path, encoding="utf-8"))["added_tokens"]] or [SPECIAL]
 
     def encode(text: str) -> np.ndarray:
-        if any(x in text for x in special):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
-        return fast.encode_to_numpy(text).astype("<u4", copy=False)
+        if not any(x in text for x in special):
+            try:
+                return fast.encode_to_numpy(text).astype("<u4", copy=False)
+            except ValueError:  # its pattern ran out of stack
+                pass
+        return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
 
     return encode
 
@@ -103,9 +108,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterat
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH) -> DataFrame:
     """Pieces of all documents: doc_id, uid (of the row), piece, start, length, ids_crc32."""
     small_batches(docs.sparkSession)
-    given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(f"`{text}`").alias("text"))
-    kind = given.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, uid bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+    given = docs.select(col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), col(text).alias("text"))
+    schema = StructType([given.schema["doc_id"]]).add("uid", "long").add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     return given.mapInArrow(partial(_pieces, path=path or tokenizer_path(), length=length), schema)
 
 

@@ -1,9 +1,15 @@
 """Quality rules with host verdicts.
 
-A kernel measures every whole text. Rule failures are then counted by host,
-the failure rates are shrunk with a beta prior fitted to all hosts by the
-method of moments, and hosts whose shrunk rate exceeds a limit fail all their
-documents.
+A kernel measures every whole text. Failures of each rule are then counted by
+host, each rule's failure rates are shrunk with a beta prior fitted to all
+hosts by the method of moments, and a host fails all its documents where the
+posterior of a rule's rate lies above ``MAX_HOST_RATE``: its mean less
+``SURE`` standard deviations. The prior and that margin treat small hosts; no
+host is left out for its size.
+
+Two rules fail a document by themselves (``base_failed``): too few words and
+too many repeated ones. Two more count against hosts only: many symbols, and
+many repeated lines.
 
 Defined cases: a null text counts as empty, so it has no words and fails. A
 document without a host gets no host verdict. Repeated rows are judged row by
@@ -19,16 +25,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from granary.llm.common import saved, small_batches, utf8
+from granary.llm.common import col, saved, small_batches, utf8
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Hosts with fewer documents than this get no verdict.
-MIN_HOST_DOCS = 20
-#: A host fails when its shrunk failure rate exceeds this.
-MAX_HOST_RATE = 0.5
+#: Symbols per hundred characters of words, and repeated lines per hundred words, that fail a document of a host.
+MAX_SYMBOL_PERCENT, MAX_LINE_PERCENT = 10, 10
+#: A host fails when a rule's shrunk failure rate, less this many standard deviations, exceeds the limit.
+MAX_HOST_RATE, SURE = 0.5, 1.0
+#: rule -> SQL condition over the measures.
+RULES = {
+    "short": f"n_words < {MIN_WORDS}",
+    "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "symbols": f"100 * n_symbols > {MAX_SYMBOL_PERCENT} * word_chars",
+    "lines": f"100 * n_dup_lines > {MAX_LINE_PERCENT} * n_words",
+}
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -84,51 +98,50 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``row`` (a struct of the columns ``keep``), the five measures and ``base_failed``."""
     small_batches(docs.sparkSession)
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), utf8(F.col(f"`{text}`")).alias("utf8"))
-    schema = f"row {given.schema['row'].dataType.simpleString()}, " + ", ".join(f"{f} bigint" for f in FIELDS)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return given.mapInArrow(_kernel, schema).withColumn("base_failed", failed)
+    given = docs.select(F.struct(*[col(c) for c in keep]).alias("row"), utf8(col(text)).alias("utf8"))
+    schema = StructType([given.schema["row"], *(StructField(f, LongType()) for f in FIELDS)])
+    return given.mapInArrow(_kernel, schema).withColumn("base_failed", F.expr(f"{RULES['short']} or {RULES['repeats']}"))
+
+
+def _prior(k: int, n: int, mean: float, squares: float) -> tuple[float, float]:
+    """Beta prior of rates over ``k`` hosts and ``n`` documents, from their mean and the sum of f * f / n. With no more spread than chance gives, rates shrink fully to the mean."""
+    spread, strength = mean * (1 - mean), 1e6
+    if k > 1 and spread > 0 and n > k:
+        variance = k / (k - 1) * (squares - n * mean * mean) / n
+        excess = (variance - spread * k / n) / (spread * (1 - k / n))
+        strength = min(1e6, max(2.0, 1 / excess - 1)) if excess > 0 else 1e6
+    return max(mean, 1e-9) * strength, max(1 - mean, 1e-9) * strength
 
 
 def host_verdicts(stats: DataFrame, host) -> DataFrame:
-    """Per host: documents, failures, shrunk failure rate and ``host_failed``.
-
-    The prior comes from one pass of sums over all hosts; with no more spread
-    than chance gives, rates shrink fully to the mean.
-    """
-    hosts = saved(
-        stats.filter(host.isNotNull()).groupBy(host.alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f")),
-        "hosts",
-    )
-    mean = F.sum("f") / F.sum("n")
-    sums = hosts.agg(F.count("*").alias("k"), F.sum("n").alias("n"), mean.alias("mean"), F.sum(F.col("f") * F.col("f") / F.col("n")).alias("sq")).first()
-    a = b = 1.0
-    if sums["k"]:
-        k, n, m = sums["k"], sums["n"], sums["mean"]
-        spread = m * (1 - m)
-        strength = 1e6
-        if k > 1 and spread > 0 and n > k:
-            variance = k / (k - 1) * (sums["sq"] - n * m * m) / n
-            excess = (variance - spread * k / n) / (spread * (1 - k / n))
-            strength = min(1e6, max(2.0, 1 / excess - 1)) if excess > 0 else 1e6
-        a, b = max(m, 1e-9) * strength, max(1 - m, 1e-9) * strength
-    rate = (F.col("f") + a) / (F.col("n") + a + b)
-    return hosts.select("host", "n", "f", rate.alias("rate"), ((F.col("n") >= MIN_HOST_DOCS) & (rate > MAX_HOST_RATE)).alias("host_failed"))
+    """Per host: documents ``n``, failures ``f_rule`` and shrunk rate ``rate_rule`` of each rule, and ``host_failed``. The priors come from one pass of sums over all hosts."""
+    failures = [F.sum(F.expr(rule).cast("long")).alias(f"f_{r}") for r, rule in RULES.items()]
+    hosts = saved(stats.filter(host.isNotNull()).groupBy(host.alias("host")).agg(F.count("*").alias("n"), *failures), "hosts")
+    sums = [x for r in RULES for x in ((F.sum(f"f_{r}") / F.sum("n")).alias(f"m_{r}"), F.sum(F.col(f"f_{r}") * F.col(f"f_{r}") / F.col("n")).alias(f"s_{r}"))]
+    whole = hosts.agg(F.count("*").alias("k"), F.sum("n").alias("n"), *sums).first()
+    rates, failed = [], F.lit(False)
+    for r in RULES:
+        a, b = _prior(whole["k"], whole["n"], whole[f"m_{r}"], whole[f"s_{r}"]) if whole["k"] else (1.0, 1.0)
+        rate = (F.col(f"f_{r}") + a) / (F.col("n") + a + b)
+        rates.append(rate.alias(f"rate_{r}"))
+        failed = failed | (rate - SURE * F.sqrt(rate * (1 - rate) / (F.col("n") + a + b + 1)) > MAX_HOST_RATE)
+    return hosts.select("*", *rates, failed.alias("host_failed"))
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """One row per document: id, measures, ``base_failed``, host rate and ``kept``."""
+    """One row per document: id, measures, ``base_failed``, ``kept``, and the host's shrunk rate of each rule."""
     stats = saved(measured(docs, [doc_id, host] if doc_id != host else [doc_id], text), "quality")
-    verdicts = host_verdicts(stats, F.col(f"row.`{host}`"))
-    joined = stats.join(verdicts.select("host", "rate", "host_failed"), F.col(f"row.`{host}`") == F.col("host"), "left")
-    return joined.select(
-        F.col(f"row.`{doc_id}`").alias("doc_id"), *FIELDS, "base_failed", (~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).alias("kept"), F.col("rate").alias("host_rate")
-    )
+    rates = [f"rate_{r}" for r in RULES]
+    verdicts = host_verdicts(stats, col(host, "row")).select("host", *rates, "host_failed")
+    joined = stats.join(verdicts, col(host, "row") == F.col("host"), "left")
+    kept = ~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))
+    return joined.select(col(doc_id, "row").alias("doc_id"), *FIELDS, "base_failed", kept.alias("kept"), *rates)
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """The documents that pass, with all their columns. Texts are never shuffled: the few failed hosts are joined to them."""
-    stats = measured(docs, [host], text)
-    bad = saved(host_verdicts(stats, F.col(f"row.`{host}`")).filter("host_failed").select("host"), "failed-hosts")
-    good = measured(docs, docs.columns, text).filter(~F.col("base_failed")).select("row.*")
-    return good.join(bad, good[f"`{host}`"] == bad["host"], "left_anti")
+    """The documents that pass, with all their columns. Texts are measured once, written once and never shuffled: the few failed hosts are joined to them."""
+    whole = measured(docs, docs.columns, text)
+    slim = whole.select(col(host, "row").alias("host"), *FIELDS, F.when(~F.col("base_failed"), F.col("row")).alias("row"))
+    stats = saved(slim, "measured")
+    bad = saved(host_verdicts(stats, F.col("host")).filter("host_failed").select(F.col("host").alias("failed")), "failed-hosts")
+    return stats.filter("row is not null").join(bad, F.col("host") == F.col("failed"), "left_anti").select("row.*")

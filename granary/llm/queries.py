@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from granary.llm import langid, mixing, packing, pii, quality, secrets, simhash, suffix, topk, toxicity
 from granary.llm.common import table
@@ -20,7 +21,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
+    got = quality.quality_rules(table(spark, sf_dir, "documents"))
+    return got.select(*[F.round(c, 9).alias(c) if c.startswith("rate_") else c for c in got.columns])
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,7 +194,7 @@ def vote(trees: list[Leaf | Split], row: np.ndarray) -> float:
 
 def candidates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, s, e, v and near of every candidate; position by the lengths of the text between candidates."""
-    given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    given = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text), F.lit("")).alias("t"))
     rules = {"runs": CANDIDATE, "announced": ANNOUNCED, "logins": LOGIN}
     found = given.selectExpr("doc_id", "t", *[f"regexp_extract_all(t, r'{rule}', 0) as {name}" for name, rule in rules.items()])
     found = found.filter(" or ".join(f"size({name}) > 0" for name in rules))

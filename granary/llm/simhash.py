@@ -5,8 +5,10 @@ bits. Of three differing bits one segment holds at most one, so it is indexed
 under its exact value and under the 32 values with one bit deleted. Equal keys
 meet in one task, which verifies whole distances and keeps a spanning forest
 of each bucket, never its pairs. Only distinct fingerprints take part, so a
-group of exact copies is a single row. Buckets above ``BUCKET`` members are
-cut into blocks, and every pair of blocks is a bucket of its own.
+group of exact copies is a single row. A bucket above ``BUCKET`` members is
+split by the other segment, of whose four bytes three differing bits leave one
+as it is: a member goes to the four buckets of its bytes. What is still above
+the limit is cut into blocks, and every pair of blocks is a bucket of its own.
 
 Defined cases: a null text counts as empty; texts without words have
 fingerprint zero and are linked like any other. Repeated rows share a group.
@@ -25,14 +27,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from granary.llm.common import saved, small_batches, utf8
+from granary.llm.common import col, saved, small_batches, utf8
 from granary.operators.graph import components
 
 MAX_DISTANCE = 3
 SHINGLE = 3
 SEED = 42
-#: Largest bucket that one task takes; larger ones are cut into blocks of half this size.
+#: Largest bucket that is compared as it is; larger ones are split, then cut into blocks of half this size.
 BUCKET = 32768
 #: Shingles hashed at once, which bounds memory on very long texts.
 CHUNK = 65536
@@ -69,8 +72,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``row`` (a struct of the columns ``keep``) and ``fp``, the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), utf8(F.col(f"`{text}`")).alias("utf8"))
-    return given.mapInArrow(_fingerprints, f"row {given.schema['row'].dataType.simpleString()}, fp bigint")
+    given = docs.select(F.struct(*[col(c) for c in keep]).alias("row"), utf8(col(text)).alias("utf8"))
+    return given.mapInArrow(_fingerprints, StructType([given.schema["row"], StructField("fp", LongType())]))
 
 
 def forest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +181,8 @@ def _keyed(distinct: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Cut buckets that may exceed ``BUCKET`` into blocks and give every pair of blocks a key.
+def _split(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Split buckets that may exceed ``BUCKET`` by the bytes of the other segment, and cut what stays large into pairs of blocks.
 
     A bucket with a deleted bit unites two segment values, so only segments
     with over half the limit can be part of a large one; there are few.
@@ -188,24 +191,29 @@ def _blocks(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     hot = saved(counts.filter(F.col("count") > BUCKET // 2), "hot-segments")
     if hot.isEmpty():
         return keyed
-    large = hot.selectExpr("half", "seg", "count", "explode(sequence(0, 32)) as bit").selectExpr("cast(half * 33 + bit as int) as slot", "if(bit = 32, seg, seg & ~shiftleft(1L, bit)) as key", "count")
-    # A bucket holds two segment values at most; the second may be below the limit.
-    large = large.groupBy("slot", "key").agg(F.ceil((F.sum("count") + BUCKET // 2) / (BUCKET // 4)).cast("int").alias("blocks"))
-    dealt = keyed.join(large, ["slot", "key"], "left").withColumn("mine", F.expr("cast(pmod(xxhash64(fp), coalesce(blocks, 1)) as int)"))
+    large = hot.selectExpr("half", "seg", "explode(sequence(0, 32)) as bit").selectExpr("cast(half * 33 + bit as int) as slot", "if(bit = 32, seg, seg & ~shiftleft(1L, bit)) as key").distinct()
+    marked = keyed.join(large.withColumn("hot", F.lit(True)), ["slot", "key"], "left")
+    cool = marked.filter("hot is null").select("slot", "key", "fp")
+    other = "if(slot < 33, fp & 4294967295, shiftrightunsigned(fp, 32))"
+    bytes_ = marked.filter("hot").selectExpr("slot", "key", "fp", f"{other} as other", "explode(array(0, 8, 16, 24)) as at")
+    split = saved(bytes_.selectExpr("slot", "xxhash64(key, at, shiftrightunsigned(other, at) & 255) as key", "fp"), "split-buckets")
+    sizes = split.groupBy("slot", "key").count().filter(F.col("count") > BUCKET)
+    blocks = sizes.select("slot", "key", F.ceil(F.col("count") / (BUCKET // 2)).cast("int").alias("blocks"))
+    dealt = split.join(blocks, ["slot", "key"], "left").withColumn("mine", F.expr("cast(pmod(xxhash64(fp), coalesce(blocks, 1)) as int)"))
     dealt = dealt.withColumn("other", F.expr("explode(sequence(0, coalesce(blocks, 1) - 1))"))
     pair = F.expr("if(blocks is null, key, xxhash64(key, least(mine, other), greatest(mine, other)))")
-    return dealt.select("slot", pair.alias("key"), "fp")
+    return cool.unionByName(dealt.select("slot", pair.alias("key"), "fp"))
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` whose components are those of all close pairs."""
-    keyed = _blocks(_keyed(distinct), distinct)
+    keyed = _split(_keyed(distinct), distinct)
     return keyed.repartition("slot", "key").sortWithinPartitions("slot", "key").mapInArrow(_links, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the smallest id reachable."""
-    prints = saved(fingerprints(docs, [doc_id], text).select(F.col(f"row.`{doc_id}`").alias("doc_id"), "fp"), "fingerprints")
+    prints = saved(fingerprints(docs, [doc_id], text).select(col(doc_id, "row").alias("doc_id"), "fp"), "fingerprints")
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct.select("fp")))
     grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").selectExpr("fp", "first", "coalesce(root, fp) as root")
@@ -219,8 +227,8 @@ def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Ids may repeat or be null. A group of which no row has an id keeps one row.
     """
-    body = F.md5(utf8(F.col(f"`{text}`")))
-    slim = docs.select(F.col(f"`{doc_id}`").alias("id"), body.alias("body"), F.col(f"`{text}`").alias("text"))
+    body = F.md5(utf8(col(text)))
+    slim = docs.select(col(doc_id).alias("id"), body.alias("body"), col(text).alias("text"))
     # The least (no id, id, body) of a group, so that a null id stands only where the group has no other.
     rank = F.struct(F.col("row.id").isNull().alias("none"), F.col("row.id").alias("id"), F.col("row.body").alias("body"))
     distinct = saved(fingerprints(slim, ["id", "body"]).groupBy("fp").agg(F.min(rank).alias("least")), "distinct")
@@ -230,5 +238,5 @@ def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     picked = saved(chosen.select(F.col("least.id").alias("picked_id"), F.col("least.body").alias("picked_body")), "representatives")
     mark = "_".join(["body", *docs.columns])
     rows = docs.withColumn(mark, body)
-    kept = rows.join(picked, F.col(f"`{doc_id}`").eqNullSafe(picked["picked_id"]) & (F.col(f"`{mark}`") == picked["picked_body"]), "left_semi")
+    kept = rows.join(picked, col(doc_id).eqNullSafe(picked["picked_id"]) & (col(mark) == picked["picked_body"]), "left_semi")
     return kept.dropDuplicates([doc_id, mark]).drop(mark)

@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+from granary.llm.pii import CONTEXT, CONTEXT_WEIGHT, IBAN_LENGTHS, KINDS, MIN_SCORE
+from granary.llm.quality import MAX_HOST_RATE, RULES, SURE
 from granary.llm.topk import SCALE, TOP
 
 WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
-#: Words, repeated windows of eight, repeated lines and the host verdict with its fitted prior.
+def _host_rules() -> str:
+    """Per host: shrunk failure rates of each rule and the verdict; the prior by moments over all hosts."""
+    sums = ", ".join(f"sum(CAST(({rule}) AS INTEGER)) AS f_{r}" for r, rule in RULES.items())
+    moments = ", ".join(f"sum(f_{r}) / CAST(sum(n) AS DOUBLE) AS m_{r}, sum(f_{r} * f_{r} / CAST(n AS DOUBLE)) AS q_{r}" for r in RULES)
+    excess = ", ".join(f"m_{r}, CASE WHEN k > 1 AND m_{r} * (1 - m_{r}) > 0 AND n > k THEN (k / (k - 1.0) * (q_{r} - n * m_{r} * m_{r}) / n - m_{r} * (1 - m_{r}) * k / n) / (m_{r} * (1 - m_{r}) * (1 - k / n)) END AS x_{r}" for r in RULES)
+    strength = ", ".join(f"m_{r}, CASE WHEN x_{r} > 0 THEN least(1e6, greatest(2.0, 1 / x_{r} - 1)) ELSE 1e6 END AS s_{r}" for r in RULES)
+    prior = ", ".join(f"greatest(m_{r}, 1e-9) * s_{r} AS a_{r}, greatest(1 - m_{r}, 1e-9) * s_{r} AS b_{r}" for r in RULES)
+    rates = ", ".join(f"(f_{r} + a_{r}) / (n + a_{r} + b_{r}) AS rate_{r}, n + a_{r} + b_{r} AS t_{r}" for r in RULES)
+    bad = " OR ".join(f"rate_{r} - {SURE} * sqrt(rate_{r} * (1 - rate_{r}) / (t_{r} + 1)) > {MAX_HOST_RATE}" for r in RULES)
+    return f"""h AS (SELECT source, count(*) AS n, {sums} FROM f WHERE source IS NOT NULL GROUP BY 1),
+a AS (SELECT count(*) AS k, CAST(sum(n) AS DOUBLE) AS n, {moments} FROM h),
+e AS (SELECT {excess} FROM a), z AS (SELECT {strength} FROM e), p AS (SELECT {prior} FROM z), u AS (SELECT source, {rates} FROM h, p),
+v AS (SELECT *, {bad} AS bad FROM u)"""
+
+
+#: Words, repeated windows of eight, repeated lines and the host verdicts with their fitted priors.
 QUALITY = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, source, t, {WORDS} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 g AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 6, 1))) AS i, ws FROM w),
@@ -14,20 +31,20 @@ k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, list_slice(ws, i, i
 r AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM k, range(0, 8) x(o) WHERE n > 1 GROUP BY 1),
 m AS (SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
-f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, CAST(sum(CAST(base_failed AS INTEGER)) AS DOUBLE) AS f FROM f WHERE source IS NOT NULL GROUP BY 1),
-a AS (SELECT count(*) AS k, CAST(sum(n) AS DOUBLE) AS n, sum(f) / sum(n) AS m, sum(f * f / n) AS sq FROM h),
-e AS (SELECT m, CASE WHEN k > 1 AND m * (1 - m) > 0 AND n > k THEN (k / (k - 1.0) * (sq - n * m * m) / n - m * (1 - m) * k / n) / (m * (1 - m) * (1 - k / n)) END AS ex FROM a),
-p AS (SELECT greatest(m, 1e-9) * s AS a, greatest(1 - m, 1e-9) * s AS b FROM (SELECT m, CASE WHEN ex > 0 THEN least(1e6, greatest(2.0, 1 / ex - 1)) ELSE 1e6 END AS s FROM e)),
-v AS (SELECT source, h.n >= 20 AND (f + a) / (h.n + a + b) > 0.5 AS bad FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept FROM f LEFT JOIN v ON f.source = v.source"""
+f AS (SELECT *, {RULES["short"]} OR {RULES["repeats"]} AS base_failed FROM m),
+{_host_rules()}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept, {", ".join(f"round(rate_{r}, 9) AS rate_{r}" for r in RULES)} FROM f LEFT JOIN v ON f.source = v.source"""
 
 
 def _spans(kind: str, rank: int, pattern: str, test: str) -> str:
-    """Rows (doc_id, s, rank, e, kind, v) of one kind; places come from the text between matches."""
-    return rf"""SELECT doc_id, CAST(s AS BIGINT) AS s, {rank} AS rank, CAST(s + length(v) AS BIGINT) AS e, '{kind}' AS kind, v, t FROM (
- SELECT doc_id, t, v, sum(length(g)) OVER o + coalesce(sum(length(v)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
- FROM (SELECT doc_id, t, unnest(regexp_extract_all(t, '{pattern}')) AS v, unnest(list_slice(string_split_regex(t, '{pattern}'), 1, len(regexp_extract_all(t, '{pattern}')))) AS g, unnest(range(0, len(regexp_extract_all(t, '{pattern}')))) AS i FROM d)
+    """Rows (doc_id, s, rank, e, kind, score, v, t) of one kind; places and what stands beside come from the text between matches."""
+    _, _, score, more, less = KINDS[kind]
+    beside = rf"lower(right(g, {CONTEXT}) || chr(10) || left(h, {CONTEXT}))"
+    hits, gaps = f"regexp_extract_all(t, '{pattern}')", f"string_split_regex(t, '{pattern}')"
+    return rf"""SELECT doc_id, CAST(s AS BIGINT) AS s, {rank} AS rank, CAST(s + length(v) AS BIGINT) AS e, '{kind}' AS kind, v, t,
+ least(100, greatest(0, {score} + CASE WHEN regexp_matches({beside}, '\b(?:{more})') THEN {CONTEXT_WEIGHT} ELSE 0 END - CASE WHEN regexp_matches({beside}, '\b(?:{less})') THEN {CONTEXT_WEIGHT} ELSE 0 END)) AS score FROM (
+ SELECT doc_id, t, v, g, h, sum(length(g)) OVER o + coalesce(sum(length(v)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+ FROM (SELECT doc_id, t, unnest({hits}) AS v, unnest(list_slice({gaps}, 1, len({hits}))) AS g, unnest(list_slice({gaps}, 2, len({hits}) + 1)) AS h, unnest(range(0, len({hits}))) AS i FROM d)
  WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)) WHERE {test}"""
 
 
@@ -42,12 +59,13 @@ b AS ({_spans("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
  UNION ALL {_spans("ip", 1, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", rf"regexp_full_match(v, '{_OCTET}(?:\.{_OCTET}){{3}}')")}
  UNION ALL {_spans("card", 2, r"[0-9](?:[ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}")}
  UNION ALL {_spans("phone", 3, r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15")}),
-x AS (SELECT doc_id, s, rank, e, kind FROM (SELECT *, replace(v, ' ', '') AS a FROM ({_spans("iban", 4, r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", "true")})) WHERE {_MOD}),
-y AS (SELECT doc_id, s, rank, e, kind FROM ({_spans("ssn", 5, "[0-9]{3}-[0-9]{2}-[0-9]{4}", "true")})
- WHERE NOT regexp_matches(substr(t, s, 1), '[0-9-]') AND NOT regexp_matches(substr(t, e + 1, 1), '[0-9-]') AND regexp_matches(lower(substr(t, greatest(s - 40, 0) + 1, least(s, 40))), '\b(?:ssn|social|security|insurance)')),
-al AS (SELECT doc_id, s, rank, e, kind FROM b UNION ALL SELECT * FROM x UNION ALL SELECT * FROM y)
+x AS (SELECT doc_id, s, rank, e, kind, score FROM (SELECT *, replace(v, ' ', '') AS a FROM ({_spans("iban", 4, r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", "true")})) WHERE {_MOD} AND contains('{IBAN_LENGTHS}', substr(a, 1, 2) || length(a)) AND score >= {MIN_SCORE}),
+y AS (SELECT doc_id, s, rank, e, kind, score FROM ({_spans("ssn", 5, "[0-9]{3}-[0-9]{2}-[0-9]{4}", "true")})
+ WHERE NOT regexp_matches(substr(t, s, 1), '[0-9-]') AND NOT regexp_matches(substr(t, e + 1, 1), '[0-9-]') AND NOT regexp_matches(v, '^(000|666|9)|-00-|-0000$') AND score >= {MIN_SCORE}),
+al AS (SELECT doc_id, s, rank, e, kind, score FROM b UNION ALL SELECT * FROM x UNION ALL SELECT * FROM y)
 SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
- sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4), '')) AS base_sha256, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind IS NOT NULL), '') AS spans
+ sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4), '')) AS base_sha256, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind IS NOT NULL), '') AS spans,
+ coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY s, rank) FILTER (kind IS NOT NULL), '') AS scores
 FROM d LEFT JOIN al ON d.doc_id = al.doc_id GROUP BY d.doc_id"""
 
 #: Exact inner products of integer vectors.

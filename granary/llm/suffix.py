@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import sais
-from granary.llm.common import saved, small_batches, utf8
+from granary.llm.common import col, saved, small_batches, utf8
 
 WINDOW = 100
 GRAM = 24
@@ -335,7 +335,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, doc and h (the order of documents) and utf8."""
-    given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    given = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text), F.lit("")).alias("t"))
     lowest = F.lit(-(1 << 63)).cast("bigint")
     return given.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), lowest).alias("doc"), F.xxhash64("t").alias("h"), utf8(F.col("t")).alias("utf8"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import crc_fold, small_batches, utf8
+from granary.llm.common import col, crc_fold, small_batches, utf8
 
 WINDOW, STRIDE = 48, 24
 HIDDEN, DIM, ATTENTION = 8, 8, 8
@@ -318,13 +318,13 @@ def fit(texts: list[bytes], labels: np.ndarray, prior: float | None = None) -> N
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Network | None:
     """The network for the learning folds of ``labels``, from a bounded sample of each label."""
-    ids = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y"))
+    ids = labels.select(col(doc_id).alias("doc_id"), col(label).cast("int").alias("y"))
     ids = ids.filter("doc_id is not null and y in (0, 1)").filter(crc_fold("doc_id") != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.crc32(F.concat(F.lit("learn/"), F.col("doc_id").cast("string")).cast("binary")), F.lit(1 << 20))
     rate = F.when(F.col("y") == 1, F.lit(int(min(1.0, sample / max(1, counts.get(1, 0))) * (1 << 20)))).otherwise(F.lit(int(min(1.0, sample / max(1, counts.get(0, 0))) * (1 << 20))))
     drawn = ids.filter(draw < rate)
-    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), utf8(F.col(f"`{text}`")).alias("t"))
+    texts = docs.select(col(doc_id).alias("doc_id"), utf8(col(text)).alias("t"))
     # At most about 2 * sample ids: a bounded side.
     rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "t", "y").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["t"])))
@@ -337,7 +337,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(learn(docs, labels, doc_id, text, label, sample))
-    given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), utf8(F.col(f"`{text}`")).alias("utf8"))
+    given = docs.select(col(doc_id).alias("doc_id"), utf8(col(text)).alias("utf8"))
     given = given.select("doc_id", (crc_fold("doc_id") == 0).alias("held_out"), "utf8")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ def docs(spark, sf):
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls in any column, empty and very long texts, ties, repeated rows, and columns whose names clash with inner ones."""
-    long = "lorem ipsum 4111 1111 1111 1111 " * 4000
+    long = "lorem ipsum 4111 1111 1111 1111 " * 4000 + " " * 50_000
     rows = [
         (1, None, "en", "a", 0, "x", 1),
         (2, "", None, None, 0, "x", None),
@@ -71,6 +71,14 @@ def test_bad_host_fails_and_clean_hosts_stay(spark):
     assert {r["doc_id"] for r in quality.keep_good(df).collect()} == kept
 
 
+def test_odd_column_names(spark, odd):
+    df = odd.withColumnRenamed("row", "crawl date, `x`").withColumnRenamed("n_words", "a.b")
+    for f in (quality.keep_good, simhash.keep_representatives, pii.redact, mixing.mix_rows):
+        out = f(df)
+        assert out.columns == df.columns
+        out.collect()
+
+
 def test_quality_keeps_columns(odd):
     out = quality.keep_good(odd)
     assert out.columns == odd.columns
@@ -247,13 +255,36 @@ def test_packing(docs, odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_many_nodes_fill_as_well_as_one(spark):
+    """The tree unites what nodes leave half empty: nearly as few sequences as the lower bound."""
+    g = random.Random(12)
+    df = spark.createDataFrame([(i, "a " * (g.randint(1, 40) if i % 3 else g.randint(300, 500))) for i in range(3000)], "doc_id long, text string")
+    counts = []
+    for node in (packing.NODE, 60):
+        rows = packing.pack(df, node=node).groupBy("sequence_id").agg({"length": "sum"}).collect()
+        assert max(r[1] for r in rows) <= 1024
+        counts.append((len(rows), sum(r[1] for r in rows) / 1024))
+    assert counts[0][0] <= 1.04 * counts[0][1] + 2
+    # Fifty nodes: without the tree, half a sequence more for each.
+    assert counts[1][0] <= 1.03 * counts[0][0] + 2, counts
+
+
+def test_a_long_run_of_blanks_goes_to_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.tokenizer_path())
+    text = " " * 1_000_000
+    rows = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sum(r["length"] for r in rows) == len(library.encode(text, add_special_tokens=False).ids) + 1
+
+
 def test_encoder_equals_library():
     from tokenizers import Tokenizer
 
     library, encode = Tokenizer.from_file(packing.tokenizer_path()), packing.encoder(packing.tokenizer_path())
     g = random.Random(9)
-    for _ in range(3000):
-        text = "".join(g.choice(["a", " ", "  ", "\n", "é", "\U0001f600", "'s", "12", "字", "́", "\x00", "​", "\t", "!", "<|endoftext|>", "the "]) for _ in range(g.randint(0, 30)))
+    for i in range(3000):
+        text = "".join(g.choice(["a", " ", "  ", "Straße ", "сло́во ", "日本語", "हिन्दी ", "\r\n", "I'LL", "\n", "é", "\U0001f600", "'s", "12", "字", "́", "\x00", "​", "\t", "!", "<|endoftext|>", "the "]) for _ in range(g.randint(0, 30) if i % 100 else 20_000))
         assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
@@ -363,11 +394,49 @@ def test_top_products(spark, sf, monkeypatch):
     rows = [(i, [g.choice([0.0, 0.5, 1.0]) * (1 + i % 7) for _ in range(6)]) for i in range(300)]
     rows += [(400, None), (420, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (440, [float("nan")] * 6), (460, [float("inf")] * 6), (None, [1.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    for name, value in (("QUERIES", 4), ("BLOCK", 16), ("STRIPE", 3), ("HEAD", 2)):
+    for name, value in (("QUERIES", 4), ("BLOCK", 16), ("STRIPE", 3), ("SEEDS", 2), ("HEAD", 2), ("MERGED", 2)):
         monkeypatch.setattr(topk, name, value)
     got = {tuple(r) for r in topk.top_products(df, top=5).select("query_id", "rank", "vec_id", "score").collect()}
     assert got == exact_top(rows, top=5)
     assert topk.top_products(df.limit(0)).count() == 0
+    assert topk.top_products(df.filter("vec_id % 20 <> 0")).count() == 0
+
+
+def test_scores_of_any_size_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    g = random.Random(8)
+    rows = [(i, [g.choice([-1, 1]) * (2.0**21 + g.randint(0, 3) / 64), g.uniform(-9, 9), g.uniform(-3, 3)]) for i in range(60)]
+    assert {tuple(r) for r in topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()} == exact_top(rows)
+    rows += [(100, [1e9, 0.0, 0.0]), (120, [3e38, -1.0, 0.0]), (121, [-3e38, 5.0, 0.0]), (-20, [0.0, 0.0, 0.0]), (-7, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    low, high = topk.LOW, topk.HIGH
+    sound = {i: [int(64 * x // 1) for x in v] for i, v in rows}
+    want = set()
+    for q in sound:
+        if q % 20 == 0:
+            scores = sorted((-min(max(sum(a * b for a, b in zip(sound[q], v)), low), high), i) for i, v in sound.items() if i != q)[:20]
+            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)}
+    assert {tuple(r) for r in topk.top_products(df).collect()} == want
+    # Of rows with one id the least vector counts.
+    twice = df.unionByName(spark.createDataFrame([(0, [-9e9, 0.0, 0.0]), (3, [9e9, 0.0, 0.0])], df.schema))
+    got = {tuple(r) for r in topk.top_products(twice).collect()}
+    assert got == {tuple(r) for r in topk.top_products(df.filter("vec_id <> 0").unionByName(spark.createDataFrame([(0, [-9e9, 0.0, 0.0])], df.schema))).collect()}
+
+
+def test_lengths_prune_cells(spark, monkeypatch):
+    """Vectors of varied length: most cells are never formed, and the result stays exact."""
+    for name, value in (("QUERIES", 8), ("BLOCK", 16), ("STRIPE", 2), ("SEEDS", 2)):
+        monkeypatch.setattr(topk, name, value)
+    g = random.Random(6)
+    rows = [(i, [abs(g.gauss(0, 1)) * 1.02 ** (i * 7 % 600) for _ in range(8)]) for i in range(600)]
+    met = []
+    old = topk.cells
+    monkeypatch.setattr(topk, "cells", lambda *a: met.append((old(*a), a)) or met[-1][0])
+    got = {tuple(r) for r in topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == exact_top(rows)
+    left, (groups, blocks, stripe, seeds) = met[0]
+    every = groups.count() * -(-(blocks.count() - seeds) // stripe)
+    assert left.count() < every / 3
 
 
 # Toxicity
