@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from granary.storage import dropped, saved
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge, by alternating large and small stars.
 
     Each round shuffles the links once per star, pre-aggregated, and is
     written to the shared folder; the rounds grow with the logarithm of the
-    longest chain.
+    longest chain, and every round but the last lowers some node's centre, so
+    they end. The centre of a large component is on most of its links; a join
+    to the table of centres, one row each, is one that adaptive execution
+    broadcasts, or splits where a partition of links is skewed.
     """
     now = saved(edges.selectExpr("greatest(a, b) as a", "least(a, b) as b").filter("a <> b").distinct(), "links")
     before = None
-    for _ in range(most):
+
+    while True:
         both = now.unionByName(now.selectExpr("b as a", "a as b"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = now.join(low.withColumnRenamed("a", "b"), "b").selectExpr("a", "m as b").distinct()
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(root, "a").selectExpr("b as a", "m as b").unionByName(root.selectExpr("a", "m as b")).filter("a <> b")
+        low = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.min("a")).alias("m"))
+        large = now.join(low.withColumnRenamed("n", "b"), "b").selectExpr("a", "m as b").distinct()
+        root = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+        small = large.join(root.withColumnRenamed("n", "a"), "a").selectExpr("b as a", "m as b").unionByName(root.selectExpr("n as a", "m as b")).filter("a <> b")
         new = saved(small.selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct(), "links")
         state = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         dropped(now)
@@ -30,7 +34,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if state == before:
             return now.selectExpr("a as node", "b as root")
         before = state
-    raise RuntimeError("components did not settle")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
