@@ -10,8 +10,9 @@ the mean window score give the document's probability by logistic regression.
 The network is trained in numpy, by backpropagation through time.
 
 Learning is bounded: ``SAMPLE`` documents of each label at most, about, drawn
-by the crc32 of their ids from the folds other than 0, and ``PER_DOC`` windows
-of each. Scoring covers every word of every text.
+by the crc32 of their ids from the folds other than 0; all windows of each may
+be drawn in training. Of rows with one id one text is learned from. Scoring
+covers every word of every text.
 
 Defined cases: a null or empty text is scored as one empty window. Null labels
 are not learned from; without both labels to learn from, every score is 0.
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from granary.llm.common import col, crc_fold, small_batches, utf8
 
@@ -35,9 +37,9 @@ WINDOW, STRIDE = 48, 24
 HIDDEN, DIM, ATTENTION = 8, 8, 8
 PAIRS = 2048
 VOCABULARY = 4096
-#: Documents of a label that the network learns from, about, and windows of each.
-SAMPLE, PER_DOC = 1200, 4
-STEPS, BATCH, RATE, DECAY = 150, 128, 0.005, 0.003
+#: Documents of a label that the network learns from, about.
+SAMPLE = 1200
+STEPS, BATCH, RATE, DECAY = 300, 128, 0.005, 0.003
 #: Scale of the log odds that embeddings start with, and standard errors from which words tell of a label.
 HINT, TELLING = 2.0, 3.0
 #: Windows scored at once, and words whose inputs are remembered.
@@ -69,8 +71,8 @@ def window_starts(n: int) -> list[int]:
 def recur(project, steps: int, n: int, mask: np.ndarray | None, weight: np.ndarray, keep: bool = False):
     """States (t, 2, n, h) of both directions. ``project(i)``: inputs (2, n, 3h) of step i; ``mask`` (t, 2, n): which steps count. ``keep``: also what backpropagation needs."""
     h = weight.shape[1]
-    state = np.zeros((2, n, h), np.float32)
-    states = np.empty((steps, 2, n, h), np.float32)
+    state = np.zeros((2, n, h), weight.dtype)
+    states = np.empty((steps, 2, n, h), weight.dtype)
     trace = []
     for i in range(steps):
         a = project(i)
@@ -95,6 +97,11 @@ def recur(project, steps: int, n: int, mask: np.ndarray | None, weight: np.ndarr
     return (states, trace) if keep else states
 
 
+def added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by their places among ``n``."""
+    return np.stack([np.bincount(at, c, n) for c in rows.T], axis=1).astype(rows.dtype)
+
+
 class Network:
     """Parameters, inference and training."""
 
@@ -194,70 +201,84 @@ class Network:
         f = self.features(texts)
         return 1 / (1 + np.exp(-np.clip(f @ self.final[:2] + self.final[2], -60, 60)))
 
-    def train(self, samples: list[list[bytes]], labels: np.ndarray, seed: int = 11) -> None:
-        """Adam on windows of words; both labels weigh the same."""
+    def gradients(self, grid: np.ndarray, marks: np.ndarray, word: np.ndarray, rows: np.ndarray, sizes: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean log loss of windows and its gradient, by backpropagation through time.
+
+        ``grid`` (n, t): which of the words in use stands where, -1 for none.
+        Per word: its place in the vocabulary (``word``), the codes of its pairs
+        (``sizes`` of the flat ``rows``) and whether its characters take part (``use``).
+        """
+        n, steps = grid.shape
+        kind = self.p["rec"].dtype
+        mask = grid >= 0
+        at = np.where(mask, grid, 0)
+        firsts = np.append(0, np.cumsum(sizes)[:-1])
+        x = self.p["word"][word] + use * np.add.reduceat(self.p["pair"][rows], firsts, axis=0) / sizes[:, None]
+        a = np.matmul(x[None].astype(kind), self.p["in"]) + self.p["bias"]
+        order = np.stack([at.T, at.T[::-1]], axis=1)
+        masks = np.stack([mask.T, mask.T[::-1]], axis=1)
+        states, trace = recur(lambda i: np.stack([a[0][order[i, 0]], a[1][order[i, 1]]]), steps, n, masks, self.p["rec"], keep=True)
+        both, hidden, weight, context, z = self.pooled(states, mask.T)
+        loss = float(np.mean(np.logaddexp(0, z) - marks * z))
+        d = ((1 / (1 + np.exp(-z)) - marks) / n).astype(kind)
+        grad = {"out": context.T @ d, "off": d.sum(keepdims=True)}
+        dcontext = d[:, None] * self.p["out"]
+        dweight = (both * dcontext).sum(axis=2)
+        de = weight * (dweight - (weight * dweight).sum(axis=0))
+        grad["key"] = np.einsum("tn,tna->a", de, hidden)
+        dhidden = de[:, :, None] * self.p["key"] * (1 - hidden * hidden)
+        grad["att"] = np.einsum("tnh,tna->ha", both, dhidden)
+        dboth = weight[:, :, None] * dcontext + dhidden @ self.p["att"].T
+        dstates = np.stack([dboth[:, :, :HIDDEN], dboth[::-1, :, HIDDEN:]], axis=1)
+        da = np.zeros((steps, 2, n, 3 * HIDDEN), kind)
+        grad["rec"] = np.zeros_like(self.p["rec"])
+        dh = np.zeros((2, n, HIDDEN), kind)
+        for i in range(steps - 1, -1, -1):
+            state, r, zt, new, u = trace[i]
+            dh = dh + dstates[i]
+            live = masks[i][:, :, None]
+            dn = np.where(live, dh * (1 - zt) * (1 - new * new), 0)
+            dz = np.where(live, dh * (state - new) * zt * (1 - zt), 0)
+            dr = dn * u * r * (1 - r)
+            da[i] = np.concatenate([dr, dz, dn], axis=2)
+            du = np.concatenate([dr, dz, dn * r], axis=2)
+            grad["rec"] += np.matmul(state.transpose(0, 2, 1), du)
+            dh = np.where(live, dh * zt, dh) + np.matmul(du, self.p["rec"].transpose(0, 2, 1))
+        summed = np.stack([added(order[:, k].ravel(), da[:, k].reshape(-1, 3 * HIDDEN), len(word)) for k in range(2)])
+        grad["bias"] = summed.sum(axis=1, keepdims=True)
+        grad["in"] = np.matmul(x.T[None].astype(kind), summed)
+        dx = np.einsum("kuj,kdj->ud", summed, self.p["in"])
+        grad["word"] = added(word, dx, len(self.p["word"]))
+        grad["pair"] = added(rows, np.repeat(use * dx / sizes[:, None], sizes, axis=0), PAIRS)
+        return loss, grad
+
+    def train(self, texts: list[list[bytes]], labels: np.ndarray, seed: int = 11) -> None:
+        """Adam on windows of words: a document of a label by chance, then any of its windows; both labels weigh the same."""
         g = np.random.default_rng(seed)
-        types = sorted({w for s in samples for w in s})
-        number = {w: i + 1 for i, w in enumerate(types)}
-        grid = np.zeros((len(samples), WINDOW), np.int64)
-        for row, s in enumerate(samples):
-            grid[row, : len(s)] = [number[w] for w in s]
-        vocab = np.array([0, *(self.vocabulary.get(w, 0) for w in types)])
-        codes = [np.zeros(1, np.int64), *(pair_codes(w) for w in types)]
+        types = sorted({w for s in texts for w in s})
+        number = {w: i for i, w in enumerate(types)}
+        numbers = [np.array([number[w] for w in s], np.int64) for s in texts]
+        starts = [window_starts(len(s)) for s in texts]
+        vocab = np.array([self.vocabulary.get(w, 0) for w in types] or [0])
+        codes = [pair_codes(w) for w in types] or [np.zeros(1, np.int64)]
         counts = np.array([len(c) for c in codes])
         flat, ends = np.concatenate(codes), np.append(0, np.cumsum(counts))
         positive, negative = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
         moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         for step in range(1, STEPS + 1):
             pick = np.concatenate([g.choice(positive, BATCH // 2), g.choice(negative, BATCH // 2)])
-            used, at = np.unique(grid[pick], return_inverse=True)
-            at = at.reshape(BATCH, WINDOW)
-            mask = grid[pick] > 0
+            grid = np.full((BATCH, WINDOW), -1, np.int64)
+            for row, i in enumerate(pick):
+                s = starts[i][g.integers(len(starts[i]))]
+                part = numbers[i][s : s + WINDOW]
+                grid[row, : len(part)] = part
+            used, at = np.unique(np.where(grid < 0, 0, grid), return_inverse=True)
+            grid = np.where(grid < 0, -1, at.reshape(BATCH, WINDOW))
             rows = np.concatenate([flat[ends[u] : ends[u + 1]] for u in used])
-            sizes = counts[used]
-            firsts = np.append(0, np.cumsum(sizes)[:-1])
-            word = np.where(g.random(len(used)) < 0.1, 0, vocab[used])
             # Dropping the characters of some words and the word of others keeps the two inputs from leaning on each other.
+            word = np.where(g.random(len(used)) < 0.1, 0, vocab[used])
             use = (g.random(len(used)) >= 0.3).astype(np.float32)[:, None]
-            x = self.p["word"][word] + use * np.add.reduceat(self.p["pair"][rows], firsts, axis=0) / sizes[:, None]
-            a = np.matmul(x[None], self.p["in"]) + self.p["bias"]
-            order = np.stack([at.T, at.T[::-1]], axis=1)
-            masks = np.stack([mask.T, mask.T[::-1]], axis=1)
-            states, trace = recur(lambda i, a=a, order=order: np.stack([a[0][order[i, 0]], a[1][order[i, 1]]]), WINDOW, BATCH, masks, self.p["rec"], keep=True)
-            both, hidden, weight, context, z = self.pooled(states, mask.T)
-            d = ((1 / (1 + np.exp(-z)) - labels[pick]) / BATCH).astype(np.float32)
-            grad = {"out": context.T @ d, "off": d.sum(keepdims=True)}
-            dcontext = d[:, None] * self.p["out"]
-            dweight = (both * dcontext).sum(axis=2)
-            de = weight * (dweight - (weight * dweight).sum(axis=0))
-            grad["key"] = np.einsum("tn,tna->a", de, hidden)
-            dhidden = de[:, :, None] * self.p["key"] * (1 - hidden * hidden)
-            grad["att"] = np.einsum("tnh,tna->ha", both, dhidden)
-            dboth = weight[:, :, None] * dcontext + dhidden @ self.p["att"].T
-            dstates = np.stack([dboth[:, :, :HIDDEN], dboth[::-1, :, HIDDEN:]], axis=1)
-            da = np.zeros((WINDOW, 2, BATCH, 3 * HIDDEN), np.float32)
-            grad["rec"] = np.zeros_like(self.p["rec"])
-            dh = np.zeros((2, BATCH, HIDDEN), np.float32)
-            for i in range(WINDOW - 1, -1, -1):
-                state, r, zt, new, u = trace[i]
-                dh = dh + dstates[i]
-                live = masks[i][:, :, None]
-                dn = np.where(live, dh * (1 - zt) * (1 - new * new), 0)
-                dz = np.where(live, dh * (state - new) * zt * (1 - zt), 0)
-                dr = dn * u * r * (1 - r)
-                da[i] = np.concatenate([dr, dz, dn], axis=2)
-                du = np.concatenate([dr, dz, dn * r], axis=2)
-                grad["rec"] += np.matmul(state.transpose(0, 2, 1), du)
-                dh = np.where(live, dh * zt, dh) + np.matmul(du, self.p["rec"].transpose(0, 2, 1))
-            summed = np.zeros((2, len(used), 3 * HIDDEN), np.float32)
-            for k in range(2):
-                np.add.at(summed[k], order[:, k].ravel(), da[:, k].reshape(-1, 3 * HIDDEN))
-            grad["bias"] = summed.sum(axis=1, keepdims=True)
-            grad["in"] = np.matmul(x.T[None], summed)
-            dx = np.einsum("kuj,kdj->ud", summed, self.p["in"])
-            grad["word"], grad["pair"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["pair"])
-            np.add.at(grad["word"], word, dx)
-            np.add.at(grad["pair"], rows, np.repeat(use * dx / sizes[:, None], sizes, axis=0))
+            _, grad = self.gradients(grid, labels[pick], word, rows, counts[used], use)
             for k, v in self.p.items():
                 m1, m2 = moment[k]
                 m1 += 0.1 * (grad[k] - m1)
@@ -302,13 +323,7 @@ def fit(texts: list[bytes], labels: np.ndarray, prior: float | None = None) -> N
     # Of more words than the vocabulary holds, those most telling of a label.
     keep = np.argsort(-np.abs(odds), kind="stable")[: min(VOCABULARY, int((odds != 0).sum()))]
     net = Network({chosen[i]: k + 1 for k, i in enumerate(keep)}, odds[keep].astype(np.float32) * HINT)
-    samples, targets = [], []
-    for s, y in zip(split, marks, strict=True):
-        starts = window_starts(len(s))
-        for k in g.permutation(len(starts))[:PER_DOC]:
-            samples.append(s[starts[k] : starts[k] + WINDOW])
-            targets.append(y)
-    net.train(samples, np.array(targets))
+    net.train(split, marks)
     # The network hasn't seen these; weights restore the prior that sampling changed.
     share = labels[rest].mean()
     p = share if prior is None else prior
@@ -325,8 +340,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rate = F.when(F.col("y") == 1, F.lit(int(min(1.0, sample / max(1, counts.get(1, 0))) * (1 << 20)))).otherwise(F.lit(int(min(1.0, sample / max(1, counts.get(0, 0))) * (1 << 20))))
     drawn = ids.filter(draw < rate)
     texts = docs.select(col(doc_id).alias("doc_id"), utf8(col(text)).alias("t"))
-    # At most about 2 * sample ids: a bounded side.
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "t", "y").collect()
+    # At most about 2 * sample ids: a bounded side. Of the texts of one id the one with the least digest is learned from.
+    rows = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min_by("t", F.md5("t")).alias("t")).collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["t"])))
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     return fit([bytes(r["t"]) for r in rows], np.array([r["y"] for r in rows], np.int64), prior)
@@ -346,4 +361,4 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             p = np.zeros(len(texts)) if sent.value is None else sent.value.probabilities(texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return given.mapInArrow(kernel, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return given.mapInArrow(kernel, StructType([given.schema["doc_id"]]).add("held_out", "boolean").add("score", "double").add("predicted", "integer"))
