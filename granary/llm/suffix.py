@@ -15,9 +15,16 @@ Three steps, none of which brings all suffixes of the corpus together:
 3. The repeated stretches of each document are united and cut out.
 
 Owners found more than ``HOT`` times (estimated on 1 of 64 documents) are
-dealt by whole windows instead, so that a passage that a third of all
+dealt by whole windows from the start, so that a passage that a third of all
 documents share does not meet in one task; repeats within a batch are settled
-before any shuffle.
+before any shuffle. Owners with over ``SPLIT`` different spans are known once
+their spans have met: these go window by window too, so no task sorts more
+than that of one owner.
+
+Equal spans are told by two hashes of 112 bits in all (owner and content, or
+two hashes of a window), not byte by byte: at 100 TB, some 3e12 spans, the
+chance of a wrong equality anywhere is below 1e-8. Stretches of different
+spans are compared byte by byte, by their suffixes.
 
 Defined cases: a null text counts as empty. Ids are integers; a null id sorts
 first. Repeated rows (same id and text) are one document and get the same
@@ -36,6 +43,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from granary.llm import sais
 from granary.llm.common import col, saved, small_batches, utf8
@@ -48,6 +56,8 @@ REACH = WINDOW - GRAM + 1
 CHUNK = (1 << 16) - REACH
 #: Spans of one owner from which its windows are dealt one by one, and the share of documents that estimates it.
 HOT, ESTIMATE = 40_000, 64
+#: Different spans of an owner from which their windows are dealt one by one.
+SPLIT = 1024
 #: Input bytes per bucket of spans, and bytes of a shard whose suffixes are sorted together.
 BUCKET, SHARD = 16 << 20, 1 << 20
 #: Classes of windows by the owner's place in them, and the bytes all windows of a class hold.
@@ -95,6 +105,19 @@ def owners(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def windows(text: bytes, doc: int, h: int, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The windows that start from ``s`` to ``e`` as spans of their own, under a hash of the window instead of the owner."""
+    size = e - s + 1
+    each = np.repeat(s, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out = np.zeros(len(each), SPAN)
+    parts = [text[a : a + WINDOW] for a in each.tolist()]
+    # One more bit than owners have keeps the two kinds of hash apart.
+    out["m"] = np.fromiter((xxhash.xxh64_intdigest(p) >> 16 | 1 << 48 for p in parts), np.uint64, len(each))
+    out["sh"] = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in parts), np.uint64, len(each))
+    out["doc"], out["h"], out["s"], out["e"], out["x"] = doc, h, each, each, each
+    return out
+
+
 def spans(texts: list[bytes], docs: np.ndarray, hs: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Spans of some documents; those of hot owners window by window, under a hash of the window instead of the owner."""
     parts = []
@@ -104,12 +127,8 @@ def spans(texts: list[bytes], docs: np.ndarray, hs: np.ndarray, hot: np.ndarray)
             continue
         heavy = np.isin(m, hot) if len(hot) else np.zeros(0, bool)
         if heavy.any():
-            size = (e - s + 1)[heavy]
-            each = np.repeat(s[heavy], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            # One more bit than owners have keeps the two kinds of hash apart.
-            other = np.fromiter((xxhash.xxh64_intdigest(text[a : a + WINDOW]) >> 16 | 1 << 48 for a in each.tolist()), np.uint64, len(each))
-            m, x = np.concatenate([m[~heavy], other]), np.concatenate([x[~heavy], np.repeat(x[heavy], size)])
-            s, e = np.concatenate([s[~heavy], each]), np.concatenate([e[~heavy], each])
+            parts.append(windows(text, doc, h, s[heavy], e[heavy]))
+            m, s, e, x = m[~heavy], s[~heavy], e[~heavy], x[~heavy]
         out = np.empty(len(m), SPAN)
         out["sh"] = np.fromiter((xxhash.xxh3_64_intdigest(text[a : b + WINDOW]) for a, b in zip(s.tolist(), e.tolist(), strict=True)), np.uint64, len(m))
         out["m"], out["doc"], out["h"], out["s"], out["e"], out["x"] = m, doc, h, s, e, x
@@ -134,30 +153,50 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) ->
     """Documents to blobs (bucket, settled, spans): per batch the first span of each content; the others are settled."""
     for batch in batches:
         x = spans(batch.column("utf8").to_pylist(), batch.column("doc").to_numpy(), batch.column("h").to_numpy(), hot)
-        if not len(x):
-            continue
-        x, first = first_of_each(x)
-        settled, x = x[~first], x[first]
-        bucket = (x["m"] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        x, bucket = x[order], bucket[order]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        blobs = [p.tobytes() for p in np.split(x, cuts)]
-        to = bucket[np.append(0, cuts)].tolist() if len(x) else []
-        flags = [False] * len(to)
-        if len(settled):
-            blobs.append(settled.tobytes())
-            to.append(int(settled["sh"][0] % np.uint64(buckets)))
-            flags.append(True)
-        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(flags), pa.array(blobs, pa.binary())], ["bucket", "settled", "spans"])
+        if len(x):
+            yield _blobs(x, buckets)
+
+
+def _blobs(x: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Spans as blobs by bucket: the first of each content, and those that repeat it, which are settled."""
+    x, first = first_of_each(x)
+    settled, x = x[~first], x[first]
+    bucket = (x["m"] % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    x, bucket = x[order], bucket[order]
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    blobs = [p.tobytes() for p in np.split(x, cuts)]
+    to = bucket[np.append(0, cuts)].tolist() if len(x) else []
+    flags = [False] * len(to)
+    if len(settled):
+        blobs.append(settled.tobytes())
+        to.append(int(settled["sh"][0] % np.uint64(buckets)))
+        flags.append(True)
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(flags), pa.array(blobs, pa.binary())], ["bucket", "settled", "spans"])
+
+
+def _dealt_again(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Documents with spans of owners that have very many to blobs of single windows."""
+    for batch in batches:
+        parts = []
+        for text, d, k, found in zip(*(batch.column(c).to_pylist() for c in ("utf8", "doc", "h", "found")), strict=True):
+            some = [x for x in found if x["state"] == MANY]
+            if some:
+                parts.append(windows(text, d, k, np.array([x["s"] for x in some]), np.array([x["e"] for x in some])))
+        if parts:
+            yield _blobs(np.concatenate(parts), buckets)
+
 
+#: What becomes of a span: it repeats, it is contested, or it is one of very many contested ones of its owner.
+REPEATS, CONTESTED, MANY = 0, 1, 2
 
-def _found(x: np.ndarray, contested: bool) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(x), contested)), pa.array(x["m"].view(np.int64)), *(pa.array(x[f]) for f in ("doc", "h")), *(pa.array(x[f].astype(np.int64)) for f in ("s", "e", "x"))]
-    return pa.RecordBatch.from_arrays(columns, ["contested", "m", "doc", "h", "s", "e", "x"])
 
+def _found(x: np.ndarray, state: int | np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(np.broadcast_to(np.asarray(state, np.int32), len(x)).copy()), pa.array(x["m"].view(np.int64)), *(pa.array(x[f]) for f in ("doc", "h")), *(pa.array(x[f].astype(np.int64)) for f in ("s", "e", "x"))]
+    return pa.RecordBatch.from_arrays(columns, ["state", "m", "doc", "h", "s", "e", "x"])
 
-FOUND = "contested boolean, m bigint, doc bigint, h bigint, s bigint, e bigint, x bigint"
+
+FOUND = "state int, m bigint, doc bigint, h bigint, s bigint, e bigint, x bigint"
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,17 +210,19 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, first = first_of_each(x[same[1:] | same[:-1]])
         if not len(x):
             return
-        yield _found(x[~first], False)
+        yield _found(x[~first], REPEATS)
         x = x[first]
-        same = np.zeros(len(x) + 1, bool)
-        same[1:-1] = x["m"][1:] == x["m"][:-1]
-        yield _found(x[same[1:] | same[:-1]], True)
+        _, which, counts = np.unique(x["m"], return_inverse=True, return_counts=True)
+        n = counts[which]
+        # A window is as small as a span gets.
+        state = np.where((n > SPLIT) & (x["s"] < x["e"]), MANY, CONTESTED)
+        yield _found(x[n > 1], state[n > 1])
 
     key, held = None, []
     for batch in batches:
         for bucket, settled, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "settled", "spans")), strict=True):
             if settled:
-                yield _found(np.frombuffer(blob, SPAN), False)
+                yield _found(np.frombuffer(blob, SPAN), REPEATS)
                 continue
             if bucket != key and held:
                 yield from solve(held)
@@ -198,6 +239,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, doc, h, s, e, place, parts = [], [], [], [], [], [], []
         for text, d, k, found in zip(*(batch.column(c).to_pylist() for c in ("utf8", "doc", "h", "found")), strict=True):
             for x in found:
+                if x["state"] != CONTESTED:
+                    continue
                 m.append(x["m"])
                 doc.append(d)
                 h.append(k)
@@ -277,7 +320,7 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         x = np.zeros(len(found), SPAN)
         for i, f in enumerate(("doc", "h", "s", "e")):
             x[f] = found[:, i]
-        return _found(x, False)
+        return _found(x, REPEATS)
 
     def close() -> None:
         nonlocal held
@@ -360,15 +403,26 @@ def repeated_stretches(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     small_batches(spark)
     keyed = _keyed(docs, doc_id, text)
-    # The planner's estimate: the size of the files, for a table that is read.
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-min(size, 1 << 50) // BUCKET))
-    blobs = keyed.select("doc", "h", "utf8").mapInArrow(partial(_dealt, buckets=buckets, hot=hot_owners(keyed, hot)), "bucket bigint, settled boolean, spans binary")
-    met = saved(blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, FOUND), "spans")
-    asked = met.filter("contested").groupBy("doc", "h").agg(F.collect_list(F.struct("m", "s", "e", "x")).alias("found"))
-    parts = keyed.select("doc", "h", "utf8").join(asked, ["doc", "h"]).select("utf8", "doc", "h", "found").mapInArrow(_cut, "m bigint, doc bigint, h bigint, s bigint, e bigint, x bigint, part binary")
-    solved = parts.repartition("m").sortWithinPartitions("m", "doc", "h", "s").mapInArrow(_sorted_shards, FOUND)
-    return met.filter("not contested").unionByName(solved).select("doc", "h", "s", "e")
+    size = keyed.agg(F.coalesce(F.sum(F.octet_length("utf8")), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
+    blob = "bucket bigint, settled boolean, spans binary"
+
+    def meet(blobs: DataFrame, name: str) -> DataFrame:
+        return saved(blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, FOUND), name)
+
+    met = meet(keyed.select("doc", "h", "utf8").mapInArrow(partial(_dealt, buckets=buckets, hot=hot_owners(keyed, hot)), blob), "spans")
+    asked = met.filter(F.col("state") != REPEATS).groupBy("doc", "h").agg(F.collect_list(F.struct("state", "m", "s", "e", "x")).alias("found"))
+    parts = keyed.select("doc", "h", "utf8").join(asked, ["doc", "h"]).select("utf8", "doc", "h", "found")
+    cut = "m bigint, doc bigint, h bigint, s bigint, e bigint, x bigint, part binary"
+    solved = parts.mapInArrow(_cut, cut).repartition("m").sortWithinPartitions("m", "doc", "h", "s").mapInArrow(_sorted_shards, FOUND)
+    out = met.filter(F.col("state") == REPEATS).unionByName(solved)
+    many = met.filter(F.col("state") == MANY)
+    if not many.isEmpty():
+        wide = many.groupBy("doc", "h").agg(F.collect_list(F.struct("state", "s", "e")).alias("found"))
+        dealt = keyed.select("doc", "h", "utf8").join(wide, ["doc", "h"]).select("utf8", "doc", "h", "found").mapInArrow(partial(_dealt_again, buckets=buckets), blob)
+        # Windows with one 49-bit hash and another content are different, and each is the first of its content.
+        out = out.unionByName(meet(dealt, "windows").filter(F.col("state") == REPEATS))
+    return out.select("doc", "h", "s", "e")
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
@@ -376,4 +430,5 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     found = repeated_stretches(docs, doc_id, text, hot).groupBy("doc", "h").agg(F.collect_list(F.struct("s", "e")).alias("found"))
     keyed = _keyed(docs, doc_id, text)
     joined = keyed.join(found, ["doc", "h"], "left").select("doc_id", "utf8", "found")
-    return joined.mapInArrow(_removed, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    schema = StructType([keyed.schema["doc_id"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    return joined.mapInArrow(_removed, schema)

@@ -64,6 +64,14 @@ def test_hot_owners_are_dealt_by_window(spark):
     assert got == brute([(d, t.encode()) for d, t in rows])
 
 
+def test_owners_with_many_spans_are_dealt_by_window(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "SPLIT", 3)
+    for seed in (4, 5):
+        rows = planted(seed)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert result(suffix.repeated_passages(df)) == brute([(d, t.encode()) for d, t in rows])
+
+
 def test_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
