@@ -12,37 +12,39 @@ from pyspark.sql import functions as F
 from granary.operators import kernels as K
 from granary.operators.metrics import by_score
 
-#: Distinct scores up to which a curve is fitted on the driver; more are rounded to this many steps by rank first.
+#: Distinct scores up to which a curve is fitted on the driver.
 CURVE = 100_000
 
 #: Columns added for MLlib; named so that they do not hide a feature.
 VECTOR, WEIGHT = "__vector", "__weight"
 
 
-def grouped_scores(rows: DataFrame, score: str = "score", label: str = "label") -> pd.DataFrame:
-    """Counts and positives per distinct score, ascending; scores are rounded until there are at most ``CURVE``."""
-    for digits in (None, 6, 5, 4):
-        g = by_score(rows if digits is None else rows.withColumn(score, F.round(score, digits)), score, label)
-        head = g.limit(CURVE + 1).toPandas()
-        if len(head) <= CURVE:
-            return head.sort_values("score")
-    raise ValueError("scores have no bounded resolution")
+def grouped_scores(rows: DataFrame, score: str = "score", label: str = "label", digits: int | None = None) -> pd.DataFrame:
+    """Counts and positives per distinct score, ascending; at most ``CURVE`` of them, whatever the number of rows.
 
+    A score of finer steps is rounded by the caller's choice of ``digits``, never by itself.
+    """
+    g = by_score(rows if digits is None else rows.withColumn(score, F.round(score, digits)), score, label)
+    head = g.limit(CURVE + 1).toPandas()
+    if len(head) > CURVE:
+        raise ValueError(f"more than {CURVE} distinct scores: name the digits to round them to")
+    return head.sort_values("score")
 
-def isotonic_curve(rows: DataFrame, score: str = "score", label: str = "label") -> pd.DataFrame:
+
+def isotonic_curve(rows: DataFrame, score: str = "score", label: str = "label", digits: int | None = None) -> pd.DataFrame:
     """(score, fitted): the calibrated probability at each distinct score."""
-    g = grouped_scores(rows, score, label)
+    g = grouped_scores(rows, score, label, digits)
     return pd.DataFrame({"score": g["score"], "fitted": K.isotonic((g["pos"] / g["n"]).to_numpy(float), g["n"].to_numpy(float))})
 
 
-def platt_coefficients(rows: DataFrame, score: str = "score", label: str = "label") -> tuple[float, float]:
-    g = grouped_scores(rows, score, label)
+def platt_coefficients(rows: DataFrame, score: str = "score", label: str = "label", digits: int | None = None) -> tuple[float, float]:
+    g = grouped_scores(rows, score, label, digits)
     return K.platt(g["score"].to_numpy(float), g["pos"].to_numpy(float), g["n"].to_numpy(float))
 
 
-def calibration_bins(rows: DataFrame, bins: int = 10, score: str = "score", label: str = "label") -> pd.DataFrame:
+def calibration_bins(rows: DataFrame, bins: int = 10, score: str = "score", label: str = "label", digits: int | None = None) -> pd.DataFrame:
     """Mean score and rate in equal bins extended through ties, and the calibration error's terms."""
-    g = grouped_scores(rows, score, label)
+    g = grouped_scores(rows, score, label, digits)
     g["bin"] = K.tie_extended_bins(g["score"].to_numpy(), g["n"].to_numpy(), bins)
     g["s"] = g["score"] * g["n"]
     out = g.groupby("bin", as_index=False).agg(n=("n", "sum"), pos=("pos", "sum"), s=("s", "sum"))

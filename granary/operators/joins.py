@@ -2,31 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.config import Pending, Ratified, read
 
 
-def as_of(observations: DataFrame, history: DataFrame, ttl_seconds: int | None = None) -> DataFrame:
-    """Latest value known at each observation: entity, obs, value, status (found, expired, missing).
+def as_of(observations: DataFrame, history: DataFrame, ttl_seconds: int | None = None, bucket_seconds: int = 7 * 86400) -> DataFrame:
+    """Latest value known at each distinct observation: entity, obs, value, status (found, expired, missing).
 
     Rows count if both clocks, of the event and of its record, are at or before
     the observation; the later record wins a tie. A value older than the time
-    to live is expired, not missing. The join is by entity, with the winner
-    kept by a partial aggregate, so only candidates are compared, not sorted.
+    to live is expired, not missing.
+
+    Nothing is joined by entity alone: both sides lie on one line of time, cut
+    into buckets. The best value of a bucket is a partial aggregate, what came
+    before a bucket a running maximum over an entity's buckets, and only rows
+    of one entity and bucket are sorted, so an entity with a third of all rows
+    is spread over its buckets. Null clocks never count.
     """
-    h = history.select(F.col("entity").alias("e"), "event_ts", "created_ts", "value")
-    known = (F.col("entity") == F.col("e")) & (F.col("event_ts") <= F.col("obs")) & (F.col("created_ts") <= F.col("obs"))
-    best = observations.join(h, known, "left").groupBy("entity", "obs").agg(F.max_by(F.struct("value", "event_ts"), F.when(F.col("event_ts").isNotNull(), F.struct("event_ts", "created_ts", "value"))).alias("w"))
+    # Known from the later of its clocks on.
+    at = F.greatest("event_ts", "created_ts")
+    h = history.filter("entity is not null and event_ts is not null and created_ts is not null").select("entity", at.alias("at"), F.lit(0).alias("asks"), F.struct("event_ts", "created_ts", "value").alias("w"))
+    o = observations.select("entity", "obs").distinct()
+    line = h.unionByName(o.select("entity", F.col("obs").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast(h.schema["w"].dataType).alias("w")))
+    line = line.withColumn("bucket", F.floor(F.unix_seconds("at") / bucket_seconds))
+    best = line.groupBy("entity", "bucket").agg(F.max("w").alias("m"))
+    earlier = Window.partitionBy("entity").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = best.select(F.col("entity").alias("e"), F.col("bucket").alias("b"), F.max("m").over(earlier).alias("carried"))
+    upto = Window.partitionBy("entity", "bucket").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    placed = line.join(before, F.col("entity").eqNullSafe(F.col("e")) & F.col("bucket").eqNullSafe(F.col("b")))
+    known = placed.withColumn("w", F.greatest(F.max("w").over(upto), F.col("carried"))).filter("asks = 1").withColumnRenamed("at", "obs")
     age = F.unix_seconds("obs") - F.unix_seconds("w.event_ts")
     status = F.when(F.col("w.event_ts").isNull(), "missing")
     if ttl_seconds is not None:
         status = status.when(age > ttl_seconds, "expired")
-    out = best.withColumn("status", status.otherwise("found"))
+    out = known.withColumn("status", status.otherwise("found"))
     return out.select("entity", "obs", F.when(F.col("status") == "found", F.col("w.value")).alias("value"), "status")
 
 
+def online(entities: DataFrame, history: DataFrame, now: Column, ttl_seconds: int | None = None) -> DataFrame:
+    """The value that an online store would serve for each entity at ``now``: the as-of join with one observation each."""
+    return as_of(entities.select("entity", now.alias("obs")), history, ttl_seconds)
+
+
+def as_of_lookup(history: DataFrame, entity: object, at: Column, ttl_seconds: int | None = None) -> DataFrame:
+    """One entity's value at one time, from its own rows alone."""
+    own = history.filter(F.col("entity") == F.lit(entity))
+    return as_of(history.sparkSession.range(1).select(F.lit(entity).cast(history.schema["entity"].dataType).alias("entity"), at.alias("obs")), own, ttl_seconds)
+
+
 def coverage(joined: DataFrame) -> DataFrame:
     """Rows, missing and expired values, and the share that is not missing; null without rows."""
     n = F.count("*")
@@ -125,8 +150,6 @@ def nearest_rank(values: Column, q: float) -> Column:
 
 def nearest_rank_of(df: DataFrame, value: str, qs: list[float]) -> DataFrame:
     """(q, value) by nearest rank over a whole table, from counts per distinct value."""
-    from pyspark.sql import Window
-
     every = Window.partitionBy(F.lit(0))
     g = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
     g = g.withColumn("upto", F.sum("n").over(every.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(every))

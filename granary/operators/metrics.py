@@ -147,7 +147,7 @@ def uplift_curve(rows: DataFrame) -> DataFrame:
 
 
 def uplift_area(rows: DataFrame, id_: str = "id", chunk: int = 1 << 16) -> DataFrame:
-    """Area between the uplift curve over single rows and its diagonal, per row; ties in the score go by id.
+    """Area between the uplift curve over single rows and its diagonal, per row; ties in the score go by id, then treated, then outcome.
 
     Rows: id, score, treated, outcome. Each score's rows are cut into chunks of
     ids, so that no ordered window holds more than ``chunk`` ids of a score; what
@@ -160,7 +160,7 @@ def uplift_area(rows: DataFrame, id_: str = "id", chunk: int = 1 << 16) -> DataF
     before = whole().orderBy(F.desc("score"), "part").rowsBetween(Window.unboundedPreceding, -1)
     g = r.groupBy("score", "part").agg(*[F.sum(n).alias(n) for n in names])
     g = g.select("score", "part", *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"b_{n}") for n in names])
-    inside = Window.partitionBy("score", "part").orderBy(id_).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("score", "part").orderBy(id_, "n1", "y1", "y0").rowsBetween(Window.unboundedPreceding, 0)
     c = r.join(g, ["score", "part"]).select(*[(F.col(f"b_{n}") + F.sum(n).over(inside)).alias(n) for n in names])
     c = c.select((F.col("y1") - F.when(F.col("n0") > 0, F.col("y0") * F.col("n1") / F.col("n0")).otherwise(0.0)).alias("inc"), (F.col("n1") + F.col("n0")).alias("k"))
     s = c.agg(F.count("*").alias("n"), F.sum("inc").alias("total"), F.max_by("inc", "k").alias("last"), F.min_by("inc", "k").alias("first"))

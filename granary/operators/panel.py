@@ -70,14 +70,14 @@ def trailing_features(panel: DataFrame) -> DataFrame:
     out = out.withColumn("dpd_trend_3m", F.when(F.count("dpd").over(quarter) >= 2, F.last("dpd", True).over(quarter) - F.first("dpd", True).over(quarter)))
     some = F.when(F.col("balance") != 0, F.col("balance"))
     out = out.withColumn("b_n", F.count(some).over(past)).withColumn("b_first", F.first(some, True).over(past)).withColumn("b_last", F.last(some, True).over(past))
-    # The fourth last balance that is not zero: the balance of the row with that number among such rows.
-    numbered = F.when(F.col("balance") != 0, F.struct(F.col("b_n"), F.col("balance")))
-    recent = F.slice(F.collect_list(numbered).over(past), -4, 4)
-    fourth = F.when(F.col("b_n") >= 4, recent[0]["balance"])
+    # The fourth last balance that is not zero: three such rows back from one, and carried over rows with none.
+    counted = Window.partitionBy("account_id", some.isNotNull()).orderBy("month_index")
+    out = out.withColumn("b_three_back", F.when(some.isNotNull(), F.lag("balance", 3).over(counted)))
+    fourth = F.when(F.col("b_n") >= 4, F.last("b_three_back", True).over(past))
     judged = (F.col("b_n") >= 2) & (F.col("b_first") > 0)
     out = out.withColumn("balance_ratio_to_open", F.when(judged, F.col("b_last") / F.col("b_first")))
     out = out.withColumn("balance_change_3m", F.when(judged & (fourth > 0), F.col("b_last") / fourth))
-    return out.drop("b_n", "b_first", "b_last")
+    return out.drop("b_n", "b_first", "b_last", "b_three_back")
 
 
 def behavioural_labels(panel: DataFrame, horizon: int = 12) -> DataFrame:

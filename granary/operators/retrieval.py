@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,13 +51,44 @@ def ranked(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
     return cut.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "chunk", "score", "rank")
 
 
-def cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top k. queries: query, v. vectors: chunk, v. Queries must be few; vectors are read once for all of them."""
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    q = queries.select("query", F.col("v").alias("q"), norm(F.col("v")).alias("nq"))
-    c = vectors.select("chunk", "v", norm(F.col("v")).alias("nv"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return ranked(c.join(q, F.col("chunk") != F.col("query")).select("query", "chunk", (dot / (F.col("nq") * F.col("nv"))).alias("score")), k, 6)
+#: Vectors of a block, and queries of a block.
+VECTORS, QUERIES = 4096, 1024
+
+
+def _blocks(rows: DataFrame, id_: str, v: str, size: int, name: str) -> tuple[DataFrame, int]:
+    """Rows dealt to blocks of about ``size``: (name, ids, vs), and their number."""
+    n = max(1, -(-rows.count() // size))
+    dealt = rows.groupBy(F.pmod(F.xxhash64(id_), F.lit(n)).cast("int").alias(name))
+    return dealt.agg(F.collect_list(F.struct(F.col(id_).alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"))).alias(f"{name}_rows")), n
+
+
+def cosine(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """Exact cosine top k of other ids. queries: query, v. vectors: chunk, v. Ties at ``digits`` digits go to the smaller id.
+
+    Queries meet vectors block by block in matrix products; only the best k of
+    a query in a block leave it. Vectors of no length score null and are left out.
+    """
+    q, _ = _blocks(queries.filter("v is not null"), "query", "v", QUERIES, "q")
+    c, n = _blocks(vectors.filter("v is not null"), "chunk", "v", VECTORS, "c")
+    met = q.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(c, "c")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def unit(rows) -> tuple[np.ndarray, np.ndarray]:
+            x = np.array([list(r["v"]) for r in rows], float)
+            with np.errstate(invalid="ignore"):
+                return np.array([r["id"] for r in rows]), x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+        for pdf in batches:
+            for left, right in zip(pdf["q_rows"], pdf["c_rows"], strict=True):
+                (asked, a), (ids, b) = unit(left), unit(right)
+                scores = a @ b.T
+                for i, row in enumerate(scores):
+                    order = np.lexsort((ids, -np.floor(row * 10.0**digits + 0.5)))
+                    order = order[(ids[order] != asked[i]) & np.isfinite(row[order])][:k]
+                    yield pd.DataFrame({"query": np.repeat(asked[i], len(order)), "chunk": ids[order], "score": row[order]})
+
+    kinds = queries.schema["query"].dataType.simpleString(), vectors.schema["chunk"].dataType.simpleString()
+    return ranked(met.select("q_rows", "c_rows").mapInPandas(solve, f"query {kinds[0]}, chunk {kinds[1]}, score double"), k, digits)
 
 
 def fused(legs: list[DataFrame], k: int) -> DataFrame:

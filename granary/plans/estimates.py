@@ -60,11 +60,11 @@ def scorecard_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("p_partkey", (F.col("i") + 1).alias("place"), "r.feature", F.round("r.shortfall", 4).alias("shortfall"))
 
 
-@query(f"""{AM}, h AS (SELECT account_id, month_index, coalesce(CASE WHEN dpd IS NOT NULL THEN dpd / 200.0 END, 0) AS a, (account_id % 10) / 20.0 AS b FROM am),
+@query(f"""{AM}, h AS (SELECT account_id, month_index, coalesce(CASE WHEN dpd IS NOT NULL THEN dpd / 256.0 END, 0) AS a, (account_id % 10) / 32.0 AS b FROM am),
 n AS (SELECT account_id, month_index, a / greatest(a + b, 1.0) AS a, b / greatest(a + b, 1.0) AS b FROM h), s AS (SELECT *, coalesce(product(greatest(1 - a - b, 0)) OVER (PARTITION BY account_id ORDER BY month_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS alive FROM n)
 SELECT account_id, month_index, round(alive * greatest(1 - a - b, 0), 6) + 0.0 AS survival, round(sum(alive * a) OVER w, 6) AS cif1, round(sum(alive * b) OVER w, 6) AS cif2 FROM s WINDOW w AS (PARTITION BY account_id ORDER BY month_index ROWS UNBOUNDED PRECEDING)""")
 def hazard_incidence(spark: SparkSession, sf: str) -> DataFrame:
-    h = account_months(spark, sf).select("account_id", "month_index", (F.col("dpd") / 200).alias("a"), ((F.col("account_id") % 10) / 20).alias("b"))
+    h = account_months(spark, sf).select("account_id", "month_index", (F.col("dpd") / 256).alias("a"), ((F.col("account_id") % 10) / 32).alias("b"))
     out = E.incidence(h, "account_id", "month_index", "a", "b").select("account_id", "month_index", "survival", "cif1", "cif2")
     return rounded(out, "survival", "cif1", "cif2").withColumn("survival", F.col("survival") + 0.0)
 

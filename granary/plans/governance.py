@@ -19,7 +19,7 @@ _BUREAU = """WITH b AS (SELECT o_custkey AS applicant, CASE o_orderstatus WHEN '
 
 @query(f"""{_BUREAU}, g AS (SELECT applicant, count(*) AS records, count(*) FILTER (status = 'Active') AS active, count(*) FILTER (status = 'Closed') AS closed, count(*) FILTER (days > -365) AS recent, -min(days) AS file_age_days, -max(days) AS days_since_last,
 max(days_overdue) AS max_days_overdue, round(max(max_overdue), 4) AS max_amount_overdue, coalesce(sum(debt), 0) AS debt, coalesce(sum(credit), 0) AS credit, CAST(sum(prolonged) AS DOUBLE) AS prolonged, count(*) FILTER (status = 'Active' AND overdue > 0) AS active_overdue FROM b GROUP BY 1),
-h AS (SELECT g.* REPLACE (round(debt, 2) AS debt, round(credit, 2) AS credit), round(debt / CASE WHEN credit <> 0 THEN credit END, 6) AS debt_ratio FROM g)
+h AS (SELECT g.* REPLACE (round(debt, 4) AS debt, round(credit, 4) AS credit), round(debt / CASE WHEN credit <> 0 THEN credit END, 6) AS debt_ratio FROM g)
 SELECT c_custkey AS applicant, h.* EXCLUDE (applicant), h.applicant IS NOT NULL AS has_history FROM customer LEFT JOIN h ON applicant = c_custkey""")
 def history_bureau(spark: SparkSession, sf: str) -> DataFrame:
     k, price = F.col("o_orderkey"), F.col("o_totalprice")
@@ -27,7 +27,7 @@ def history_bureau(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_custkey").alias("applicant"), F.when(F.col("o_orderstatus") == "F", "Closed").when(F.col("o_orderstatus") == "O", "Active").otherwise("Sold").alias("status"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1999-01-01").cast("date")).alias("days"),
         (k % 40).cast("int").alias("days_overdue"), F.when(k % 3 == 0, price / 10).alias("max_overdue"), F.when(k % 4 > 0, price / 2).alias("debt"), F.when(k % 5 > 0, price).alias("credit"), (k % 2).alias("prolonged"), F.when(k % 6 == 0, price / 20).alias("overdue"),
     )
-    h = rounded(rounded(rounded(H.bureau(b), "debt_ratio"), "max_amount_overdue", digits=4), "debt", "credit", digits=2)
+    h = rounded(rounded(H.bureau(b), "debt_ratio"), "max_amount_overdue", "debt", "credit", digits=4)
     return H.attached(table(spark, sf, "customer").select(F.col("c_custkey").alias("applicant")), h, "applicant", "has_history")
 
 
@@ -118,21 +118,21 @@ def model_promotion_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(k.alias("model"), F.array_join(blocks, ",").alias("blocks"))
 
 
-@query("""WITH g AS (SELECT c_custkey AS model, c_mktsegment AS population, DATE '2024-01-01' AS s, DATE '2024-06-30' AS e, 0.5 AS threshold, c_acctbal / 10000 AS v FROM customer),
-h AS (SELECT o_orderkey AS challenger, o_custkey AS model, CASE WHEN o_orderkey % 7 > 0 THEN c_mktsegment ELSE 'OTHER' END AS population, DATE '2024-01-01' AS s, CASE WHEN o_orderkey % 5 > 0 THEN DATE '2024-06-30' ELSE DATE '2024-09-30' END AS e, CASE WHEN o_orderkey % 6 > 0 THEN 0.5 ELSE 0.4 END AS threshold, o_totalprice / 300000 AS v,
+@query("""WITH g AS (SELECT c_custkey AS model, c_mktsegment AS population, DATE '2024-01-01' AS s, DATE '2024-06-30' AS e, 0.5 AS threshold, floor(c_acctbal) / 8192 AS v FROM customer),
+h AS (SELECT o_orderkey AS challenger, o_custkey AS model, CASE WHEN o_orderkey % 7 > 0 THEN c_mktsegment ELSE 'OTHER' END AS population, DATE '2024-01-01' AS s, CASE WHEN o_orderkey % 5 > 0 THEN DATE '2024-06-30' ELSE DATE '2024-09-30' END AS e, CASE WHEN o_orderkey % 6 > 0 THEN 0.5 ELSE 0.4 END AS threshold, floor(o_totalprice) / 262144 AS v,
   CASE WHEN o_orderkey % 4 > 0 THEN DATE '2023-12-31' ELSE DATE '2024-02-15' END AS te, o_orderkey % 3 > 0 AS ex FROM orders JOIN customer ON c_custkey = o_custkey),
 x AS (SELECT h.*, g.v AS cv, h.population = g.population AS p, h.e = g.e AS same_end, h.threshold = g.threshold AS t FROM h JOIN g USING (model))
-SELECT challenger, round(CASE WHEN p AND same_end AND t THEN v - cv END, 6) AS lift, concat_ws(',', CASE WHEN NOT p THEN 'other_population' END, CASE WHEN NOT same_end THEN 'other_eval_end' END, CASE WHEN NOT t THEN 'other_threshold' END, CASE WHEN s <= te THEN 'overlaps_training' END,
+SELECT challenger, CASE WHEN p AND same_end AND t THEN v - cv END AS lift, concat_ws(',', CASE WHEN NOT p THEN 'other_population' END, CASE WHEN NOT same_end THEN 'other_eval_end' END, CASE WHEN NOT t THEN 'other_threshold' END, CASE WHEN s <= te THEN 'overlaps_training' END,
 CASE WHEN p AND same_end AND t AND v - cv <= 0 THEN 'no_lift' END, CASE WHEN NOT ex THEN 'not_explained' END) AS blocking FROM x""")
 def model_challengers(spark: SparkSession, sf: str) -> DataFrame:
     day = lambda s: F.lit(s).cast("date")
     c, k = table(spark, sf, "customer"), F.col("o_orderkey")
-    champions = c.select(F.col("c_custkey").alias("model"), F.col("c_mktsegment").alias("population"), day("2024-01-01").alias("eval_start"), day("2024-06-30").alias("eval_end"), F.lit(0.5).alias("threshold"), (F.col("c_acctbal") / 10000).alias("value"))
+    champions = c.select(F.col("c_custkey").alias("model"), F.col("c_mktsegment").alias("population"), day("2024-01-01").alias("eval_start"), day("2024-06-30").alias("eval_end"), F.lit(0.5).alias("threshold"), (F.floor("c_acctbal") / 8192).alias("value"))
     new = table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(
         k.alias("challenger"), F.col("o_custkey").alias("model"), F.when(k % 7 > 0, F.col("c_mktsegment")).otherwise("OTHER").alias("population"), day("2024-01-01").alias("eval_start"), F.when(k % 5 > 0, day("2024-06-30")).otherwise(day("2024-09-30")).alias("eval_end"),
-        F.when(k % 6 > 0, 0.5).otherwise(0.4).alias("threshold"), (F.col("o_totalprice") / 300000).alias("value"), F.when(k % 4 > 0, day("2023-12-31")).otherwise(day("2024-02-15")).alias("train_end"), (k % 3 > 0).alias("explained"),
+        F.when(k % 6 > 0, 0.5).otherwise(0.4).alias("threshold"), (F.floor("o_totalprice") / 262144).alias("value"), F.when(k % 4 > 0, day("2023-12-31")).otherwise(day("2024-02-15")).alias("train_end"), (k % 3 > 0).alias("explained"),
     )
-    return V.challenges(champions, new).select("challenger", F.round("lift", 6).alias("lift"), F.array_join("blocking", ",").alias("blocking"))
+    return V.challenges(champions, new).select("challenger", "lift", F.array_join("blocking", ",").alias("blocking"))
 
 
 @query("""SELECT 'all' AS dimension, NULL AS level, count(*) AS n, count(*) >= 100 AS enough FROM documents UNION ALL SELECT 'lang', lang, count(*), count(*) >= 40 FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*), count(*) >= 20 FROM documents GROUP BY source""")

@@ -131,11 +131,11 @@ def tile_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(L.tile_features(t, 8, (1, 2)), "value", "mean_1", "std_1", "mean_2", "std_2", digits=5)
 
 
-@query(f"""{_ACTIONS}, c AS (SELECT row_number() OVER w AS k, sum(CASE WHEN treated = 1 THEN outcome ELSE 0 END) OVER w AS y1, sum(CASE WHEN treated = 0 THEN outcome ELSE 0 END) OVER w AS y0, sum(treated) OVER w AS n1, sum(1 - treated) OVER w AS n0 FROM act WINDOW w AS (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING)),
+@query(f"""{_ACTIONS}, c AS (SELECT row_number() OVER w AS k, sum(CASE WHEN treated = 1 THEN outcome ELSE 0 END) OVER w AS y1, sum(CASE WHEN treated = 0 THEN outcome ELSE 0 END) OVER w AS y0, sum(treated) OVER w AS n1, sum(1 - treated) OVER w AS n0 FROM act WINDOW w AS (ORDER BY score DESC, id, treated, outcome ROWS UNBOUNDED PRECEDING)),
 d AS (SELECT k, y1 - CASE WHEN n0 > 0 THEN y0 * n1 / CAST(n0 AS DOUBLE) ELSE 0 END AS inc FROM c), s AS (SELECT count(*) AS n, sum(inc) AS total, arg_max(inc, k) AS last, arg_min(inc, k) AS first FROM d)
 SELECT n, round((total - (first + last) / 2 - last * (n - 1) / 2) / n, 6) AS qini FROM s""")
 def uplift_qini_area(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(M.uplift_area(actions(spark, sf)), "qini")
+    return rounded(M.uplift_area(actions(spark, sf), chunk=1 << 40), "qini")
 
 
 _G = SUBJECTS + """, t0 AS (SELECT time, count(*) AS n, count(*) FILTER (cause = 0) AS d FROM subj GROUP BY 1),

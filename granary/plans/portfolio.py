@@ -198,14 +198,14 @@ def split_by_vintage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, l_linenumber,
-  round(CASE WHEN l_discount = 0 THEN l_extendedprice / 24 ELSE l_extendedprice * (l_discount / 12) * power(1 + l_discount / 12, 24) / (power(1 + l_discount / 12, 24) - 1) END, 4) AS emi,
+  round(CASE WHEN l_discount = 0 THEN l_extendedprice / 24 ELSE l_extendedprice * (l_discount / 12) * power(1 + l_discount / 12, 24) / (power(1 + l_discount / 12, 24) - 1) END + 1e-9, 4) AS emi,
   CAST(round_even(CASE WHEN l_discount = 0 THEN l_extendedprice * (1 - 7.0 / 24) ELSE l_extendedprice * (power(1 + l_discount / 12, 24) - power(1 + l_discount / 12, 7)) / (power(1 + l_discount / 12, 24) - 1) END, 0) AS BIGINT) AS balance,
   round(CASE WHEN l_extendedprice - l_quantity * 500 >= 1 THEN least(greatest((l_extendedprice * 0.9 - l_quantity * 500) / (l_extendedprice - l_quantity * 500), 0), 1) END, 6) AS ccf,
   round(least(greatest((l_extendedprice + 100 - l_quantity * 800) / l_extendedprice, 0), 1), 6) AS lgd FROM lineitem""")
 def finance_terms(spark: SparkSession, sf: str) -> DataFrame:
     p, q, r = F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_discount")
     return table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.round(credit.emi(p, r, F.lit(24)), 4).alias("emi"), credit.scheduled_balance(p, r, F.lit(24), F.lit(7)).alias("balance"),
+        "l_orderkey", "l_linenumber", F.round(credit.emi(p, r, F.lit(24)) + 1e-9, 4).alias("emi"), credit.scheduled_balance(p, r, F.lit(24), F.lit(7)).alias("balance"),
         F.round(credit.realised_ccf(p * 0.9, q * 500, p), 6).alias("ccf"), F.round(credit.realised_lgd(p, F.lit(100), q * 800), 6).alias("lgd"),
     )
 

@@ -42,10 +42,10 @@ BUCKET_SQL = "CASE WHEN {d} IS NULL THEN 'unknown' WHEN {d} = 0 THEN 'current' W
 
 
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as scored rows: id, score in (0, 1) with many ties, label, segment, and a challenger's score."""
+    """Order lines as scored rows: id (of order, line and part, since lines repeat), score in (0, 1) with many ties, label, segment, and a challenger's score."""
     l = table(spark, sf_dir, "lineitem")
     return l.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_003 + F.col("l_partkey")).alias("id"),
         (F.col("l_quantity") / 51).alias("score"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
         F.col("l_linestatus").alias("segment"),
@@ -54,7 +54,7 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("id", "score", "label", "segment", ((F.col("rank2") + 0.5) / 51).alias("score2"), "day")
 
 
-SCORED_SQL = """WITH scored AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity / 51 AS score, CAST(l_returnflag = 'R' AS INTEGER) AS label,
+SCORED_SQL = """WITH scored AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000003 + l_partkey AS id, l_quantity / 51 AS score, CAST(l_returnflag = 'R' AS INTEGER) AS label,
   l_linestatus AS segment, (CAST(l_partkey % 51 AS DOUBLE) + 0.5) / 51 AS score2, CAST(l_shipdate AS DATE) AS day FROM lineitem)"""
 
 

@@ -26,7 +26,7 @@ def plain(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.6g}") + 0.0
+        return "nan" if math.isnan(v) else float(f"{v:.9g}") + 0.0
     if isinstance(v, int):
         return float(f"{v:.15g}") if abs(v) < 1 << 50 else v
     if isinstance(v, datetime.datetime):
@@ -48,5 +48,5 @@ def compared(df, con, sql):
     a, b = sorted(map(key, got), key=repr), sorted(map(key, want), key=repr)
     if len(a) != len(b):
         return f"{len(a)} and {len(b)} rows"
-    odd = [(x, y) for x, y in zip(a, b) if x != y and not all(p == q or (isinstance(p, float) and isinstance(q, float) and math.isclose(p, q, rel_tol=2e-5, abs_tol=2e-6)) for p, q in zip(x, y))]
+    odd = [(x, y) for x, y in zip(a, b) if x != y and not all(p == q or (isinstance(p, float) and isinstance(q, float) and math.isclose(p, q, rel_tol=1e-9, abs_tol=1e-9)) for p, q in zip(x, y))]
     return f"{len(odd)} of {len(a)} rows differ ({sorted(names)}): {odd[:3]}" if odd else None
