@@ -80,21 +80,22 @@ def best_split(g: np.ndarray, h: np.ndarray, sign: int, l2: float, least: float,
     return float(gain[k]), k, float(low[k]), float(high[k])
 
 
-def fit(rows: DataFrame, label: str, features: list[str], monotone: dict[str, int] | None = None, trees: int = 10, depth: int = 3, rate: float = 0.3, l2: float = 1.0, least: float = 1.0, bins: int = 32) -> Model:
-    """Boosted trees for a 0/1 label; ``monotone`` gives 1 or -1 for features whose effect may only rise or fall."""
+def fit(rows: DataFrame, label: str, features: list[str], monotone: dict[str, int] | None = None, trees: int = 10, depth: int = 3, rate: float = 0.3, l2: float = 1.0, least: float = 1.0, bins: int = 32, weight: str | None = None) -> Model:
+    """Boosted trees for a 0/1 label; ``monotone`` gives 1 or -1 for features whose effect may only rise or fall; ``weight`` names a column of row weights."""
     signs = [int((monotone or {}).get(f, 0)) for f in features]
     cuts = rows.approxQuantile(features, [i / bins for i in range(1, bins)], 1e-3)
-    mean = rows.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.5
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    mean = rows.agg(F.sum(w * F.col(label).cast("double")) / F.sum(w)).first()[0] or 0.5
     mean = min(max(mean, 1e-6), 1 - 1e-6)
     model = Model(features, [sorted(set(c)) for c in cuts], math.log(mean / (1 - mean)), rate)
-    data = saved(rows.select(F.col(label).cast("double").alias("y"), *model.binned()), "binned")
+    data = saved(rows.select(F.col(label).cast("double").alias("y"), w.alias("w"), *model.binned()), "binned")
     for _ in range(trees):
         p = model.probability()
         root = Node()
         frontier = [(root, (-np.inf, np.inf))]
         for level in range(depth + 1):
             leaves = [n for n, _ in frontier]
-            x = data.select(leaf_of(root, leaves).alias("leaf"), (p - F.col("y")).alias("g"), (p * (1 - p)).alias("h"), F.posexplode(F.array(*[f"b{i}" for i in range(len(features))])).alias("feature", "bin")).filter("leaf >= 0")
+            x = data.select(leaf_of(root, leaves).alias("leaf"), (F.col("w") * (p - F.col("y"))).alias("g"), (F.col("w") * p * (1 - p)).alias("h"), F.posexplode(F.array(*[f"b{i}" for i in range(len(features))])).alias("feature", "bin")).filter("leaf >= 0")
             got = x.groupBy("leaf", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
             hist = np.zeros((len(leaves), len(features), bins + 1, 2))
             for r in got:
