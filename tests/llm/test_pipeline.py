@@ -38,3 +38,23 @@ def test_stages(spark, sf, tmp_path):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_odd_and_empty_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing names through all stages.
+
+    The one document of source b is longer than the weight that mixing gives it.
+    """
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, None, "en", "a", 0, "x"), (2, "", None, None, 0, "x"), (3, words + " me@x.org", "en", "a", 9, None), (3, words + " me@x.org", "en", "a", 9, None), (4, words + " me@x.org", None, "b", None, "y"), (None, words[::-1], "en", None, 5, "z"), (5, " ".join(f"t{i} {i * i}" for i in range(60_000)), "fr", "b", 7, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string"
+    for name, given in (("odd", rows), ("empty", [])):
+        docs = spark.createDataFrame(given, schema)
+        kept = []
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, docs, "")
+            out.write.parquet(f"{tmp_path}/{name}-{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{k}")
+            kept.append(sorted((r["doc_id"] or 0) for r in docs.select("doc_id").distinct().collect()))
+            assert stage == "packing" or docs.columns == schema.replace(" long", "").replace(" string", "").split(", ")
+        assert kept == ([[0, 3, 4, 5], [0, 3, 5], [0, 3, 5], [0, 3], [0, 3]] if given else [[]] * 5)
