@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before
 kept. All but the last return the columns of ``documents``; the last returns
 the pieces of the packed sequences.
+
+Defined cases, at every stage: a null text counts as empty, so the quality
+rules reject it; a null id or source is kept as it is. Of rows with equal id
+and text one stays after the near-duplicate stage; before it they are judged
+row by row, after it mixing may repeat a document. Extra columns go along. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
