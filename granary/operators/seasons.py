@@ -66,7 +66,7 @@ def enough_years(sums: DataFrame, value: str, by: list[str], least: int) -> Data
     """The rows, if every group (series and calendar month) has values of ``least`` years; else the run fails, as an index of fewer years is another one."""
     n = F.count(value).over(Window.partitionBy(*by))
     bad = F.raise_error(F.concat_ws(" ", F.lit("too few years for"), *[F.col(b).cast("string") for b in by])).cast("boolean")
-    return sums.filter(F.when(n >= least, True).otherwise(bad))
+    return sums.withColumn("enough_", F.when(n >= least, True).otherwise(bad)).filter("enough_").drop("enough_")
 
 
 def described_change(series: DataFrame, changes: DataFrame) -> DataFrame:
