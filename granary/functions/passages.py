@@ -21,12 +21,17 @@ NUMBER = re.compile(r"(?<![\w#])\d[\d,]*(?:\.\d+)?%?(?!\w)")
 YEAR = re.compile(r"(?:19|20)\d\d")
 
 
+#: Where one term of the budget ends and another begins.
+TERM_END = re.compile(r"[^\w%₹.]+|(?<=\d)(?=%)|(?<=[a-zA-Z])(?=\d)")
+
+
 def terms(text: str) -> int:
-    return len(text.split())
+    """Terms of a text for the budget of a chunk: words, with numbers and percent signs apart."""
+    return sum(1 for t in TERM_END.split(text) if t)
 
 
 def blocks(text: str) -> Iterator[tuple[tuple[str, ...], str, str]]:
-    """(path of headings, kind, body): paragraphs, tables and lists of a Markdown text, in order."""
+    """(path of headings, kind, body): headings, paragraphs, tables and lists of a Markdown text, in order."""
     path: list[str] = []
     held: list[str] = []
     kind = ""
@@ -43,6 +48,7 @@ def blocks(text: str) -> Iterator[tuple[tuple[str, ...], str, str]]:
             held = []
         if heading:
             path = [*path[: len(heading[1]) - 1], heading[2].strip()]
+            yield tuple(path), "heading", line
         elif now:
             kind = kind if held else now
             held.append(line)
@@ -64,24 +70,37 @@ def sentences(text: str) -> list[str]:
 
 
 def chunks(key: str, text: str, least: int = MIN_TERMS, most: int = MAX_TERMS) -> list[tuple[str, str, str, int]]:
-    """(id, path, body, terms): blocks of a section packed up to ``most`` terms; tables stay whole; a short rest joins the chunk before it in its section."""
-    packed: list[list] = []
+    """(id, path, body, terms): blocks packed up to ``most`` terms, under the path of their first one.
+
+    A heading begins a chunk once the one before it has ``least`` terms; a
+    shorter section goes on into the next. Headings stay in the body. A table is
+    never split, even if it is larger than a chunk.
+    """
+    if least <= 0 or most < least:
+        raise ValueError("the budget must be positive, and its floor below its ceiling")
+    units: list[tuple[tuple[str, ...], str, str]] = []
     for path, kind, body in blocks(text):
-        parts = [body]
-        if kind != "table" and terms(body) > most:
-            parts = [""]
-            for s in sentences(body):
-                words = s.split()
-                for piece in [" ".join(words[i : i + most]) for i in range(0, len(words), most)]:
-                    if parts[-1] and terms(parts[-1]) + terms(piece) > most:
-                        parts.append("")
-                    parts[-1] = (parts[-1] + " " + piece).strip()
-        for p in parts:
-            last = packed[-1] if packed else None
-            if last and last[0] == path and (last[2] + terms(p) <= most):
-                last[1], last[2] = last[1] + "\n\n" + p, last[2] + terms(p)
-            else:
-                packed.append([path, p, terms(p)])
+        if kind in ("table", "heading") or terms(body) <= most:
+            units.append((path, kind, body))
+            continue
+        part = ""
+        for s in sentences(body):
+            # A sentence beyond the budget is cut between its words.
+            for piece in [s] if terms(s) <= most else s.split():
+                if part and terms(part) + terms(piece) > most:
+                    units.append((path, kind, part))
+                    part = ""
+                part = (part + " " + piece).strip()
+        if part:
+            units.append((path, kind, part))
+    packed: list[list] = []
+    for path, kind, body in units:
+        n = terms(body)
+        last = packed[-1] if packed else None
+        if last is None or last[2] + n > most or (kind == "heading" and last[2] >= least):
+            packed.append([path, body, n])
+        else:
+            last[1], last[2] = last[1] + "\n\n" + body, last[2] + n
     return [(f"{key}#{i:03d}-{hashlib.sha256(b.encode()).hexdigest()[:8]}", " > ".join(p), b, n) for i, (p, b, n) in enumerate(packed)]
 
 

@@ -52,15 +52,17 @@ def retrieval_dense(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(dense(spark, sf, 10), "score", digits=5)
 
 
-@query(f"""WITH {VEC}, near AS (SELECT query, chunk, row_number() OVER (PARTITION BY query ORDER BY abs(query - chunk), chunk) AS rank FROM v),
-f AS (SELECT query, chunk, sum(1 / (60.0 + rank)) AS score FROM (SELECT query, chunk, rank FROM dr WHERE rank <= 20 UNION ALL SELECT query, chunk, rank FROM near WHERE rank <= 20) GROUP BY ALL),
+_BOTH = VEC.replace("a.vec_id % 100 = 0", "a.vec_id IN (SELECT item_id FROM benchmark)")
+
+
+@query(f"""WITH {D.replace('@W@', 'true')}, {_BOTH}, f AS (SELECT query, chunk, sum(1 / (60.0 + rank)) AS score FROM (SELECT query, chunk, rank FROM dr WHERE rank <= 20 UNION ALL SELECT query, chunk, rank FROM r WHERE rank <= 20) GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS rank FROM f) SELECT query, chunk, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 5""")
 def retrieval_fused(spark: SparkSession, sf: str) -> DataFrame:
-    d = dense(spark, sf, 20)
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk"))
-    q = e.filter("chunk % 100 = 0").withColumnRenamed("chunk", "query")
-    close = e.join(q, F.col("chunk") != F.col("query")).select("query", "chunk", (-F.abs(F.col("query") - F.col("chunk"))).cast("double").alias("score"))
-    return rounded(R.fused([d, R.ranked(close, 20)], 5), "score")
+    """Both legs for the benchmark's items: their texts by BM25, and the vectors of their ids by cosine."""
+    e = table(spark, sf, "embeddings")
+    asked = e.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    near = R.cosine(asked.select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("v")), 20)
+    return rounded(R.fused([near, lexical(spark, sf, 20)], 5), "score")
 
 
 @query(f"WITH {VEC}, h AS (SELECT query, max(CAST(ql = cl AND rank <= 5 AS INTEGER)) AS hit FROM dr WHERE ql = cl GROUP BY 1) SELECT count(*) AS queries, round(avg(hit), 6) AS hit_rate FROM h")
