@@ -25,11 +25,13 @@ def iou(a: Column, b: Column) -> Column:
     return _iou(axis(a, "x"), axis(a, "y"), axis(b, "x"), axis(b, "y"))
 
 
-def cells(p: Column, size: float) -> Column:
-    """Cells of a square grid that a polygon's bounding box touches, as strings."""
-    axis = lambda n: F.transform(p, lambda v: F.floor(v[n] / size))
-    span = lambda n: F.sequence(F.array_min(axis(n)), F.array_max(axis(n)))
-    return F.flatten(F.transform(span("x"), lambda x: F.transform(span("y"), lambda y: F.concat_ws(":", x, y))))
+def boxed(df: DataFrame, polygon: str, size: float) -> DataFrame:
+    """Rows with ``box``, the bounds of their polygon, and ``at``, the square cells of a grid that the box touches."""
+    axis = lambda n: F.transform(polygon, lambda v: v[n].cast("double"))
+    bounds = F.struct(*[f(axis(n)).alias(f"{n}{i}") for n in "xy" for i, f in enumerate((F.array_min, F.array_max))])
+    span = lambda n: F.sequence(F.floor(F.col(f"box.{n}0") / size), F.floor(F.col(f"box.{n}1") / size))
+    at = F.flatten(F.transform(span("x"), lambda x: F.transform(span("y"), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+    return df.withColumn("box", bounds).withColumn("at", at)
 
 
 def snapped(plots: DataFrame, parcels: DataFrame, least: float, cell: float) -> DataFrame:
@@ -42,9 +44,14 @@ def snapped(plots: DataFrame, parcels: DataFrame, least: float, cell: float) ->
     """
     if not 0 < least <= 1:
         raise ValueError("the least overlap lies in (0, 1]")
-    a = plots.select("id", "p", F.explode(cells(F.col("p"), cell)).alias("cell"))
-    b = parcels.select("parcel", "q", F.explode(cells(F.col("q"), cell)).alias("cell"))
-    pairs = a.join(b, "cell").groupBy("id", "parcel").agg(F.any_value("p").alias("p"), F.any_value("q").alias("q")).withColumn("iou", iou(F.col("p"), F.col("q")))
+    a = boxed(plots.select("id", "p"), "p", cell).select("id", "p", F.col("box").alias("a"), F.explode("at").alias("at")).select("id", "p", "a", "at.*")
+    b = boxed(parcels.select("parcel", "q"), "q", cell).select("parcel", "q", F.col("box").alias("b"), F.explode("at").alias("at")).select("parcel", "q", "b", "at.*")
+    # The planner's estimate knows nothing of the cells, so it would broadcast millions of rows.
+    met = a.join(b.hint("merge"), ["cx", "cy"])
+    # A pair counts in the first cell that both touch, and only if the boxes share more than an edge.
+    first = [F.col(f"c{n}") == F.floor(F.greatest(f"a.{n}0", f"b.{n}0") / cell) for n in "xy"]
+    share = [F.greatest(f"a.{n}0", f"b.{n}0") < F.least(f"a.{n}1", f"b.{n}1") for n in "xy"]
+    pairs = met.filter(first[0] & first[1] & share[0] & share[1]).select("id", "parcel", "q", iou(F.col("p"), F.col("q")).alias("iou"))
     best = pairs.filter(F.col("iou") >= least).groupBy("id").agg(F.max_by(F.struct("parcel", "iou", "q"), F.struct("iou", -F.col("parcel"))).alias("b"))
     out = plots.join(best, "id", "left")
     return out.select("id", F.coalesce("b.q", "p").alias("boundary"), F.col("b.parcel").alias("parcel"), F.col("b.iou").alias("iou"), F.col("b").isNotNull().alias("snapped"))
